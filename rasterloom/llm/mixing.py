@@ -87,14 +87,14 @@ def _weight(weights: Column | dict | None) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*named), F.col("skey")), missing)
 
 
-def mixed(docs: DataFrame, weights: Column | dict | None = None, block_bytes: int = 1 << 16, period: int = 1000, buckets: int = 4096, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, weights: Column | dict | None = None, block_bytes: int = 1 << 16, period: int = 1000, buckets: int = 4096, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "") -> DataFrame:
     """The rows with ``block``, ``release``, ``deadline``, ``slot``, ``at_byte`` and ``on_target``.
 
-    Sorted by ``(slot, at_byte, id)`` they are the mix.  ``weights`` maps sources
+    The names of these begin with ``prefix``.  Sorted by ``(slot, at_byte, id)`` they are the mix.  ``weights`` maps sources
     to positive weights (a source that is not named raises an error), or is an
     expression over ``bytes``, the size of a source; the default keeps their shares.
     """
-    kept = [c for c in docs.columns if c not in ADDED]
+    kept = [c for c in docs.columns if c not in {prefix + a for a in ADDED}]
     source = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit(""))
     rows = docs.select(
         *(docs[c] for c in kept),
@@ -113,17 +113,17 @@ def mixed(docs: DataFrame, weights: Column | dict | None = None, block_bytes: in
     plan = schedule(shares(weighed, period), period).select(F.col("skey").alias("_mix_source"), F.col("k").alias("_mix_k"), F.col("q").alias("_mix_q"), F.col("slot").alias("_mix_slot"), F.col("horizon").alias("_mix_horizon"))
     order = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_digest", id_col, "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_mix_local", F.coalesce(F.sum("_mix_size").over(order), F.lit(0))).join(offsets, ["_mix_source", "_mix_bucket"])
-    placed = placed.withColumn("at_byte", F.col("_mix_before") + F.col("_mix_local")).withColumn("block", F.expr(f"at_byte div {block_bytes}"))
+    placed = placed.withColumn("_mix_at", F.col("_mix_before") + F.col("_mix_local")).withColumn("_mix_block", F.expr(f"_mix_at div {block_bytes}"))
     share = plan.filter("_mix_k = 0").select("_mix_source", "_mix_q")
-    timed = placed.join(F.broadcast(share), "_mix_source").withColumn("_mix_k", F.expr("cast(block % _mix_q as int)"))
+    timed = placed.join(F.broadcast(share), "_mix_source").withColumn("_mix_k", F.expr("cast(_mix_block % _mix_q as int)"))
     timed = timed.join(F.broadcast(plan.drop("_mix_q")), ["_mix_source", "_mix_k"])
-    slot = F.expr(f"(block div _mix_q) * {period} + _mix_slot")
-    return timed.select(
-        *kept,
-        "block",
-        F.expr(f"(block * {period}) div _mix_q").alias("release"),
-        F.expr(f"((block + 1) * {period} + _mix_q - 1) div _mix_q").alias("deadline"),
-        slot.alias("slot"),
-        "at_byte",
-        (slot < F.col("_mix_horizon")).alias("on_target"),
+    slot = F.expr(f"(_mix_block div _mix_q) * {period} + _mix_slot")
+    added = (
+        F.col("_mix_block"),
+        F.expr(f"(_mix_block * {period}) div _mix_q"),
+        F.expr(f"((_mix_block + 1) * {period} + _mix_q - 1) div _mix_q"),
+        slot,
+        F.col("_mix_at"),
+        slot < F.col("_mix_horizon"),
     )
+    return timed.select(*kept, *(c.alias(prefix + name) for c, name in zip(added, ADDED)))

@@ -167,9 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return fit_rules(found[[f"s_{k}" for k in names]].to_numpy(float), found["y"].to_numpy(float), names)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "_stat_") -> DataFrame:
-    """The documents with their statistics (``prefix``) and a ``score`` from 0 to 1.
+def scored(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "_stat_", score: str = "score") -> DataFrame:
+    """The documents with their statistics (``prefix``) and a score from 0 to 1.
 
-    A column that is called ``score`` already is replaced.
+    A column that has the name of the score already is replaced.
     """
-    return with_statistics(docs, text_col, prefix).withColumn("score", model.score(prefix))
+    return with_statistics(docs, text_col, prefix).withColumn(score, model.score(prefix))

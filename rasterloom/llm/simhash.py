@@ -52,15 +52,20 @@ def fingerprint(raw: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed long, one row per input row."""
-    source = docs.select(docs[id_col], docs[text_col])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, more: tuple = ()) -> DataFrame:
+    """``(doc_id, fp)`` with the fingerprint as a signed long, one row per input row.
+
+    The columns in ``more`` are carried along.
+    """
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col], *more)
+    names = ["doc_id", "fp", *source.columns[2:]]
+    types = dict(source.dtypes)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x, width, seed) for x in as_bytes(batch.column(1))], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=names)
 
-    return map_batches(source, run, f"doc_id {dict(source.dtypes)[id_col]}, fp long")
+    return map_batches(source, run, ", ".join(f"`{c}` {types.get(c, 'long')}" for c in names))
 
 
 def block_keys(fp, blocks: int, radius: int):
@@ -143,17 +148,41 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, chunk: int = 4096)
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _rooted(prints: DataFrame, radius: int, blocks: int, chunk: int) -> DataFrame:
+    """``(fp, root)`` for every distinct fingerprint."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    roots = components(links(nodes, radius, blocks, chunk))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 3, blocks: int = 5, chunk: int = 4096) -> DataFrame:
     """``(doc_id, fp, component_id)`` per input row; the id is the least reachable one."""
     prints = written(fingerprints(docs, id_col, text_col, width, seed), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(nodes, radius, blocks, chunk))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, radius, blocks, chunk)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     member = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 3, blocks: int = 5, chunk: int = 4096) -> DataFrame:
+    """The rows of ``docs``, one of each group: that of the least id, all columns kept.
+
+    Null ids come last; of rows that share an id, the one with the least hash of
+    all its columns stays, and of rows equal in all columns, one.
+    """
+    every = [docs[c] for c in docs.columns]
+    keys = (F.xxhash64(*every).alias("_row_a"), F.xxhash64(F.lit("b"), *every).alias("_row_b"))
+    prints = written(fingerprints(docs, id_col, text_col, width, seed, keys), "simhash")
+    rooted = _rooted(prints, radius, blocks, chunk).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_a", "_row_b")).alias("first")
+    # the least row of each fingerprint before the join, so that copies do not meet there
+    winners = prints.groupBy("fp").agg(first).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = docs.select(*every, *keys).join(winners.select("first._row_a", "first._row_b"), ["_row_a", "_row_b"], "left_semi")
+    if prints.groupBy("_row_a", "_row_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_row_a", "_row_b"])
+    return kept.select(*docs.columns)
+
+
 def as_hex(fp):
     """A signed fingerprint column as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
