@@ -96,4 +96,48 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_simhash, op4_tokens, op5_decontamination, op6_line_dedup, op7_media, op8_quality, op9_token_counts, op10_warc)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": """
+WITH RECURSIVE
+d AS (SELECT doc_id, source, coalesce('=' || source, '') AS skey, md5(coalesce(doc_id::VARCHAR, '')) AS dg,
+        coalesce(octet_length(encode(text)), 0)::BIGINT AS size FROM documents),
+b AS (SELECT *, (('0x' || substr(dg, 1, 6))::BIGINT * 4096) // 16777216 AS bucket FROM d),
+placed AS (SELECT doc_id, source, skey, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY bucket, dg, doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_byte FROM b),
+sources AS (SELECT skey, sqrt(greatest(sum(size), 0)::DOUBLE) AS w, greatest(ceil(sum(size) / 65536.0), 1)::BIGINT AS blocks FROM b GROUP BY skey),
+ideal AS (SELECT *, greatest(w, 1e-9) / sum(greatest(w, 1e-9)) OVER () * (1000 - count(*) OVER ()) AS exact FROM sources),
+ranked AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, skey) AS rank,
+        1000 - sum(floor(exact) + 1) OVER () AS spare FROM ideal),
+shares AS (SELECT skey, blocks, (floor(exact) + 1 + CASE WHEN rank <= spare THEN 1 ELSE 0 END)::BIGINT AS q FROM ranked),
+lists AS (SELECT list(q ORDER BY skey) AS ql, list(skey ORDER BY skey) AS sl FROM shares),
+sim AS (
+  SELECT -1 AS t, list_transform(ql, x -> 0::BIGINT) AS done, 0::BIGINT AS pick FROM lists
+  UNION ALL
+  SELECT t + 1, list_transform(done, (x, i) -> CASE WHEN i = p THEN x + 1 ELSE x END), p
+  FROM (SELECT t, done, list_min(list_filter(list_transform(range(1, len(ql) + 1), i ->
+          CASE WHEN (done[i] * 1000) // ql[i] <= t + 1 THEN (((done[i] + 1) * 1000 + ql[i] - 1) // ql[i]) * 100000 + i END),
+          v -> v IS NOT NULL)) % 100000 AS p
+        FROM sim, lists WHERE t < 999)),
+slots AS (SELECT sl[pick] AS skey, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM sim, lists WHERE t >= 0),
+ends AS (SELECT min((blocks // q) * 1000 + slot) AS horizon FROM shares JOIN slots USING (skey) WHERE k = blocks % q)
+SELECT doc_id, source, at_byte // 65536 AS block, ((at_byte // 65536) * 1000) // q AS release,
+  ((at_byte // 65536 + 1) * 1000 + q - 1) // q AS deadline, ((at_byte // 65536) // q) * 1000 + slot AS slot, at_byte,
+  ((at_byte // 65536) // q) * 1000 + slot < horizon AS on_target
+FROM placed JOIN shares USING (skey) JOIN slots USING (skey), ends WHERE k = (at_byte // 65536) % q
+""",
+    "op6_line_dedup": """
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.last AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to FROM m
+""",
+}
