@@ -111,12 +111,12 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, skey
 shares AS (SELECT skey, blocks, (floor(exact) + 1 + CASE WHEN rank <= spare THEN 1 ELSE 0 END)::BIGINT AS q FROM ranked),
 lists AS (SELECT list(q ORDER BY skey) AS ql, list(skey ORDER BY skey) AS sl FROM shares),
 sim AS (
-  SELECT -1 AS t, list_transform(ql, x -> 0::BIGINT) AS done, 0::BIGINT AS pick FROM lists
+  SELECT -1 AS t, list_transform(ql, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM lists
   UNION ALL
-  SELECT t + 1, list_transform(done, (x, i) -> CASE WHEN i = p THEN x + 1 ELSE x END), p
-  FROM (SELECT t, done, list_min(list_filter(list_transform(range(1, len(ql) + 1), i ->
+  SELECT t + 1, list_transform(done, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p
+  FROM (SELECT t, done, list_min(list_filter(list_transform(range(1, len(ql) + 1), lambda i:
           CASE WHEN (done[i] * 1000) // ql[i] <= t + 1 THEN (((done[i] + 1) * 1000 + ql[i] - 1) // ql[i]) * 100000 + i END),
-          v -> v IS NOT NULL)) % 100000 AS p
+          lambda v: v IS NOT NULL)) % 100000 AS p
         FROM sim, lists WHERE t < 999)),
 slots AS (SELECT sl[pick] AS skey, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM sim, lists WHERE t >= 0),
 ends AS (SELECT min((blocks // q) * 1000 + slot) AS horizon FROM shares JOIN slots USING (skey) WHERE k = blocks % q)
