@@ -62,7 +62,8 @@ def canonical(lengths, reverse: bool = True) -> np.ndarray:
 def run_lengths(lengths, repeat_first: int = 0) -> list[tuple[int, int, int]]:
     """Code lengths as ``(symbol, extra bits, their number)`` with the repeat symbols 16, 17 and 18.
 
-    ``repeat_first`` is the value that 16 repeats before any length was sent (8 in VP8L).
+    In deflate 16 repeats the length before it; in VP8L the last length that was
+    not 0, and before any was sent ``repeat_first`` (8), which must then be given.
     """
     out: list[tuple[int, int, int]] = []
     previous, i, n = repeat_first or None, 0, len(lengths)
@@ -77,6 +78,7 @@ def run_lengths(lengths, repeat_first: int = 0) -> list[tuple[int, int, int]]:
                 part = min(run, 138)
                 out.append((18, part - 11, 7) if part >= 11 else (17, part - 3, 3))
                 run -= part
+            previous = previous if repeat_first else None
         else:
             if value != previous:
                 out.append((value, 0, 0))

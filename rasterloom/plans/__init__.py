@@ -1 +1 @@
-
+"""Named queries over the tables of a folder, each with its SQL where SQL can say it."""
