@@ -23,6 +23,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from ._base import as_texts, map_batches, written
 
-CACHE = 300_000
+#: Words a worker remembers, and the longest of them: some 200 MB at most.
+CACHE, LONGEST = 1_000_000, 64
 _MAGIC = b"WMX1"
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 # The byte-level split for texts of the characters below, where its letters and numbers are these.
@@ -76,15 +78,18 @@ class _Words(dict):
 
     def __init__(self, model, dtype):
         super().__init__()
-        self.tokenize, self.dtype = model.tokenize, dtype
+        self.tokenize = model.tokenize
         # byte-level models write each byte as a printable character: itself, or one past 255
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        hidden = iter(range(256, 512))
+        self.letters = "".join(chr(b if b in shown else next(hidden)) for b in range(256))
+        self.kind = "H" if dtype == np.uint16 else "I"
 
     def __missing__(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
-        ids = self[word] = np.array([x.id for x in self.tokenize(letters)], self.dtype).tobytes()
+        ids = array(self.kind, [x.id for x in self.tokenize(letters)]).tobytes()
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
 
