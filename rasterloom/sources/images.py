@@ -17,7 +17,7 @@ def checked(found: DataFrame, sums: DataFrame) -> DataFrame:
     named = found.withColumn("name", F.element_at(F.split("path", "/"), -1))
     joined = named.join(sums, "name", "left")
     verdict = F.when(F.col("known").isNull(), "unknown").when(F.col("known") == F.col("digest"), "known").otherwise("changed")
-    return joined.drop("known").withColumn("verdict", verdict)
+    return joined.withColumn("verdict", verdict).drop("known")
 
 
 def decoded(spark: SparkSession, path: str) -> DataFrame:
