@@ -184,3 +184,19 @@ def median_cut(pixels: np.ndarray, colours: int) -> np.ndarray:
         box = box[box[:, axis].argsort(kind="stable")]
         boxes += [box[:len(box) // 2], box[len(box) // 2:]]
     return np.array([b.mean(axis=0).round() for b in boxes]).astype(np.int64)
+
+
+def from_pixels(pixels: np.ndarray, colours: int = 256, quantizer=None, drawer=dither, n_workers: int = 1) -> bytes:
+    """A file of an image of 8-bit channels ``(h, w, 3)``.
+
+    ``quantizer`` makes a palette of an image (default: the fixed one, cut to the
+    number asked for), ``drawer`` indices of an image and a palette; both see
+    16-bit channels.
+    """
+    if not 1 <= colours <= 256:
+        raise ValueError("a palette has 1 to 256 colours")
+    palette = quantizer(pixels, colours) if quantizer else plan9_palette()[:colours]
+    wide = lambda x: np.concatenate([x.astype(np.int64), np.full((*x.shape[:-1], 1), 255)], axis=-1) * 257
+    indices = drawer(wide(pixels), wide(palette))
+    frame = Frame(indices, tuple((*map(int, c), 255) for c in palette))
+    return encode([frame], pixels.shape[1], pixels.shape[0], n_workers=n_workers)

@@ -325,3 +325,93 @@ def encode_animation(frames: list[Frame], loops: int = 0, options: Options = Opt
             out.append(chunk(b"fdAT", struct.pack(">I", serial) + stream[a:a + IDAT_BYTES]))
             serial += 1
     return b"".join([*out, chunk(b"IEND")])
+
+
+# --- bands that know nothing of each other
+
+
+EMPTY_FINAL = b"\x03\x00"  # a last deflate block with nothing in it
+
+
+def encode_detached(rows: np.ndarray, layout: Layout, options: Options = Options()) -> Band:
+    """A stretch of rows encoded without any other: its first row sees no row above.
+
+    Long stretches are cut into bands, of which only the first is detached.
+    """
+    own = Layout(layout.width, len(rows), layout.colour, layout.depth, layout.palette)
+    cuts = image_bands(own, options)
+    open_ended = Layout(layout.width, len(rows) + 1, layout.colour, layout.depth, layout.palette)  # none of them is the last
+    made = [encode_band(rows, a, b, open_ended, options, detached=a == 0) for a, b in zip(cuts, cuts[1:])]
+    adler = 1
+    for b in made:
+        adler = deflate.adler_combine(adler, b.adler, b.length)
+    return Band(0, len(rows), b"".join(b.data for b in made), adler, sum(b.length for b in made))
+
+
+def assemble(layout: Layout, bands: list[tuple[bytes, int, int]], level: int = 6) -> bytes:
+    """The file of detached bands ``(data, adler, length)`` in order."""
+    total = 1
+    for _, adler, n in bands:
+        total = deflate.adler_combine(total, adler, n)
+    stream = deflate.zlib_header(level) + b"".join(d for d, _, _ in bands) + EMPTY_FINAL + struct.pack(">I", total)
+    return SIGNATURE + header_chunks(layout) + palette_chunks(layout) + idat(stream) + chunk(b"IEND")
+
+
+class StreamWriter:
+    """A PNG written by rows: bands in any order, emitted as soon as all before them are.
+
+    The size and kind of pixels are fixed when it is opened.  A band that leaves
+    the image or meets rows that were claimed is an error, after which no more is
+    taken; closing before all rows are there is one, too.
+    """
+
+    def __init__(self, out, layout: Layout, options: Options = Options()):
+        from ..streaming.bands_stream import Order
+
+        if layout.width >= 1 << 31 or layout.height >= 1 << 31:
+            raise ValueError("the size of a stream is below 2**31 a side")
+        self.out, self.layout, self.options = out, layout, options
+        self.order, self.adler, self.closed = Order(), 1, False
+        self.sums: dict[int, tuple[int, int]] = {}
+        out.write(SIGNATURE + header_chunks(layout) + palette_chunks(layout))
+        self.head = deflate.zlib_header(1 if options.fast else options.level)
+
+    def write_rows(self, y0: int, rows: np.ndarray) -> None:
+        if self.closed:
+            raise ValueError("the stream is closed")
+        y1 = y0 + len(rows)
+        wrong = "rows of another length" if rows.ndim != 2 or rows.shape[1] != self.layout.row_bytes else self.order.claim(y0, y1, self.layout.height)
+        if wrong:
+            self.order.error = self.order.error or wrong
+            raise ValueError(wrong)
+        band = encode_detached(rows, self.layout, self.options)
+        self.sums[y0] = band.adler, band.length
+        for _, start, _, data, _ in self.order.add(y0, y1, self.layout.height, band.data):
+            adler, n = self.sums.pop(start)
+            self.adler = deflate.adler_combine(self.adler, adler, n)
+            self.out.write(idat(self.head + data))
+            self.head = b""
+
+    def close(self) -> None:
+        if self.closed or self.order.error:
+            raise ValueError(self.order.error or "the stream is closed")
+        self.closed = True
+        if self.order.frontier != self.layout.height:
+            raise ValueError(f"rows are missing from {self.order.frontier}")
+        self.out.write(idat(self.head + EMPTY_FINAL + struct.pack(">I", self.adler)) + chunk(b"IEND"))
+
+
+def sniff(file: bytes) -> tuple[str, int]:
+    """What a file is, and into how many parts it was cut: IDAT chunks, or restart intervals (0: none)."""
+    if file.startswith(SIGNATURE):
+        return "png", sum(k == "IDAT" for k, _ in chunks(file))
+    if file[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(file) and file[at] == 0xFF and file[at + 1] != 0xDA:
+            (n,) = struct.unpack_from(">H", file, at + 2)
+            if file[at + 1] == 0xDD:
+                return "jpeg", struct.unpack_from(">H", file, at + 4)[0]
+            at += 2 + n
+        return "jpeg", 0
+    kinds = {b"GIF8": "gif", b"II*\0": "tiff", b"RIFF": "webp"}
+    return kinds.get(file[:4], "unknown"), 0

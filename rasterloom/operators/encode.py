@@ -235,3 +235,61 @@ def animations(frames: DataFrame, key: str, kind: str, width: int, height: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(rows) for rows in batch.column(1).to_pylist()], pa.binary())], names=[key, "file"])
 
     return listed.mapInArrow(run, f"{key} {key_type}, file binary")
+
+
+def detached_bands(rows: DataFrame, options: png.Options = png.Options()) -> DataFrame:
+    """``(stream, y0, y1, height, data, adler, n)`` of stretches ``(stream, y0, height, row_bytes, raw)``.
+
+    Each stretch is encoded where it is, batch or stream, in any order.
+    """
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for width, raw in zip(batch.column(3).to_pylist(), batch.column(4)):
+                data = as_rows(raw.as_buffer(), width)
+                made.append((len(data), png.encode_detached(data, png.layout_of("gray", width, max(1, len(data)), True), options)))
+            y0 = np.asarray(batch.column(1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(y0), pa.array(y0 + np.array([n for n, _ in made], np.int64)), batch.column(2), pa.array([b.data for _, b in made], pa.binary()),
+                    pa.array([b.adler for _, b in made], pa.int64()), pa.array([b.length for _, b in made], pa.int64()),
+                ],
+                names=["stream", "y0", "y1", "height", "data", "adler", "n"],
+            )
+
+    chosen = rows.select("stream", F.col("y0").cast("long"), F.col("height").cast("long"), "row_bytes", "raw")
+    return chosen.mapInArrow(run, "stream string, y0 long, y1 long, height long, data binary, adler long, n long")
+
+
+def assembled(bands: DataFrame, row_bytes: int) -> DataFrame:
+    """``(stream, file, error)``: complete streams as files; incomplete or overlapping ones as errors."""
+    listed = bands.groupBy("stream").agg(F.max("height").alias("height"), F.sort_array(F.collect_list(F.struct("y0", "y1", "data", "adler", "n"))).alias("bands"))
+
+    def run(batches):
+        for batch in batches:
+            files, errors = [], []
+            for height, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                at = 0
+                for p in parts:
+                    if p["y0"] != at:
+                        break
+                    at = p["y1"]
+                fits = at == height and parts[-1]["y1"] == height
+                errors.append(None if fits else f"rows are missing or doubled at {at}")
+                files.append(png.assemble(png.layout_of("gray", row_bytes, height, True), [(p["data"], p["adler"], p["n"]) for p in parts]) if fits else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary()), pa.array(errors, pa.string())], names=["stream", "file", "error"])
+
+    return listed.mapInArrow(run, "stream string, file binary, error string")
+
+
+def sniffed(files: DataFrame) -> DataFrame:
+    """``(image_id, kind, parts)`` of files, by their bytes."""
+    id_type = dict(files.dtypes)["image_id"]
+
+    def run(batches):
+        for batch in batches:
+            kind, parts = zip(*(png.sniff(f) for f in batch.column(1).to_pylist())) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kind, pa.string()), pa.array(parts, pa.int64())], names=["image_id", "kind", "parts"])
+
+    return files.select("image_id", "file").mapInArrow(run, f"image_id {id_type}, kind string, parts long")

@@ -120,3 +120,22 @@ def png_stream(spark, folder):
     rows = made.withColumn("height", F.max("y1").over(Window.partitionBy("image_id")))
     done = bands_stream.reorder_batch(rows.select(F.col("image_id").cast("string").alias("stream"), "y0", "y1", "height", F.col("data")))
     return done.select("stream", "seq", "y0", "y1", "error")
+
+
+@Q.add()
+def png_detached_file(spark, folder):
+    """Files of stretches of 24 rows, each encoded without the others."""
+    whole = text_images(spark, folder).filter("height > 0")
+    cut = whole.select(F.col("image_id").cast("string").alias("stream"), "height", "row_bytes", "raw", F.explode(F.expr("sequence(0, height - 1, 24)")).alias("y0"))
+    stretches = cut.select("stream", "height", "row_bytes", "y0", F.expr("substring(raw, y0 * row_bytes + 1, least(24, height - y0) * row_bytes)").alias("raw"))
+    files = encode.assembled(encode.detached_bands(stretches), 64)
+    return files.select("stream", F.octet_length("file").alias("n_bytes"), F.md5("file").alias("digest"), "error")
+
+
+@Q.add()
+def container_sniff(spark, folder):
+    """What files are, by their first bytes, and into how many parts they are cut."""
+    source = text_images(spark, folder).filter("height > 0")
+    made = encode.png_files(source).select("image_id", "file").unionByName(encode.gif_files(source).select("image_id", "file"))
+    made = made.unionByName(encode.jpeg_files(images.from_text(table(spark, folder, "documents"), row_bytes=96).filter("height > 0"), workers=8).select("image_id", "file"))
+    return encode.sniffed(made).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("most_parts"))

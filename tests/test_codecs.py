@@ -496,3 +496,73 @@ def test_split_covers_the_rows():
         assert cuts[0] == 0 and cuts[-1] == h and all(a < b for a, b in zip(cuts, cuts[1:]))
         assert all(c % align == 0 for c in cuts[1:-1]) and (n > 1 or len(cuts) == 2)
     assert bands.workers(3) == 3 and bands.workers(0) >= 1
+
+
+# --- streams of rows
+
+
+def stretches(h, rng):
+    cuts = sorted({0, h, *rng.integers(0, h, 6).tolist()})
+    out = list(zip(cuts, cuts[1:]))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("model", ["nrgba", "gray16", "paletted"])
+def test_stream_writer_takes_bands_in_any_order(model):
+    import io
+
+    for h, w in ((1, 1), (21, 37), (200, 300)):
+        x = picture(model, h, w)
+        palette = [(i, i, i, 255) for i in range(200)] if model == "paletted" else []
+        layout = png.layout_of(model, w, h, False, palette)
+        rows = png.scanlines(x, model, layout)
+        for o in (png.Options(), png.Options(fast=True), png.Options(workers=3, band_bytes=1, band_rows=7)):
+            out = io.BytesIO()
+            writer = png.StreamWriter(out, layout, o)
+            for a, b in stretches(h, np.random.default_rng(h)):
+                writer.write_rows(int(a), rows[a:b])
+            writer.close()
+            file = out.getvalue()
+            assert (png.decode_rows(b"".join(d for k, d in png.chunks(file) if k == "IDAT"), layout) == rows).all()
+            with pytest.raises(ValueError):
+                writer.write_rows(0, rows)
+
+
+def test_stream_writer_errors():
+    import io
+
+    layout = png.layout_of("gray", 8, 10, True)
+    rows = np.zeros((10, 8), np.uint8)
+    for calls in ([(0, rows[:5]), (4, rows[:3])], [(8, rows[:3])], [(0, rows[:0])], [(0, rows[:, :7])], [(-1, rows[:2])]):
+        writer = png.StreamWriter(io.BytesIO(), layout)
+        with pytest.raises(ValueError):
+            for y, part in calls:
+                writer.write_rows(y, part)
+        with pytest.raises(ValueError):
+            writer.write_rows(9, rows[:1])
+        with pytest.raises(ValueError):
+            writer.close()
+    writer = png.StreamWriter(io.BytesIO(), layout)
+    writer.write_rows(0, rows[:5])
+    with pytest.raises(ValueError, match="missing"):
+        writer.close()
+
+
+def test_sniffing():
+    rows = RNG.integers(0, 256, (64, 3000), dtype=np.uint8)
+    assert png.sniff(png.encode(rows, png.layout_of("gray", 3000, 64, True)))[0] == "png"
+    assert png.sniff(png.encode(rows, png.layout_of("gray", 3000, 64, True)))[1] == 3
+    assert png.sniff(jpeg.encode(rows[..., None], "gray", n_workers=2)) == ("jpeg", 375 * 4)
+    assert png.sniff(jpeg.encode(rows[..., None], "gray")) == ("jpeg", 0)
+    assert png.sniff(b"nothing")[0] == "unknown"
+
+
+def test_true_colour_gif():
+    x = (np.indices((20, 30)).sum(axis=0)[..., None] * [3, 5, 2] % 256).astype(np.uint8)
+    for colours, quantizer, drawer in ((256, None, gif.dither), (16, gif.median_cut, gif.nearest)):
+        (indices, table), = gif.decode(gif.from_pixels(x, colours, quantizer, drawer))
+        shown = table[indices].astype(int)
+        assert indices.shape == (20, 30) and np.abs(shown - x).mean() < 40
+    with pytest.raises(ValueError):
+        gif.from_pixels(x, 0)
