@@ -61,7 +61,7 @@ def bit_offsets(spark, folder):
 
 @Q.add("""WITH e AS (SELECT doc_id, greatest(1, (octet_length(encode(coalesce(text, ''))) + 511) // 512) AS strips FROM documents),
 t AS (SELECT doc_id, tag, CASE WHEN per < 0 THEN 4 * strips ELSE per END AS n FROM e, (VALUES (256, 2), (257, 2), (258, 6), (259, 2), (262, 2), (273, -1), (277, 2), (278, 2), (279, -1), (282, 8), (283, 8), (296, 2)) AS s(tag, per))
-SELECT doc_id, tag, n::BIGINT AS n_bytes, CASE WHEN n > 4 THEN (8 + 2 + 12 * 12 + 4 + coalesce(sum(CASE WHEN n > 4 THEN n + n % 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT END AS at FROM t""")
+SELECT doc_id, tag, n::BIGINT AS n_bytes, CASE WHEN n > 4 THEN (8 + 2 + 12 * 12 + 4 + coalesce(sum(CASE WHEN n > 4 THEN n + n % 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT END AS value_at FROM t""")
 def ifd_layout(spark, folder):
     """Directory entries by tag, and where values over four bytes go."""
     strips = F.greatest(F.lit(1), F.ceil(F.octet_length(C.utf8(F.col("text"))) / 512))
@@ -70,7 +70,7 @@ def ifd_layout(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", F.inline(entries))
     beyond = F.when(F.col("n_bytes") > 4, F.col("n_bytes") + F.col("n_bytes") % 2).otherwise(0)
     placed = bands.offsets(rows, ["doc_id"], ["tag"], beyond, 8 + 2 + 12 * len(sizes) + 4)
-    return placed.select("doc_id", "tag", "n_bytes", F.when(F.col("n_bytes") > 4, F.col("offset")).alias("at"))
+    return placed.select("doc_id", "tag", "n_bytes", F.when(F.col("n_bytes") > 4, F.col("offset")).alias("value_at"))
 
 
 @Q.add("""WITH f AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events),
@@ -383,9 +383,9 @@ def _claims(spark, folder):
     return table(spark, folder, "orders").select("o_custkey", "o_orderkey", y0.alias("y0"), (y0 + 1 + F.col("o_orderkey") % 60).alias("y1"))
 
 
-@Q.add(f"""WITH c AS ({_CLAIMS}) SELECT a.o_custkey, a.o_orderkey, a.y0, a.y1, EXISTS (SELECT 1 FROM c b WHERE b.o_custkey = a.o_custkey AND b.y0 < a.y1 AND a.y0 < b.y1 AND (b.y0, b.o_orderkey) < (a.y0, a.o_orderkey)) AS overlaps FROM c a""")
+@Q.add(f"""WITH c AS ({_CLAIMS}) SELECT a.o_custkey, a.o_orderkey, a.y0, a.y1, EXISTS (SELECT 1 FROM c b WHERE b.o_custkey = a.o_custkey AND b.y0 < a.y1 AND a.y0 < b.y1 AND (b.y0, b.o_orderkey) < (a.y0, a.o_orderkey)) AS overlapping FROM c a""")
 def overlap_claims(spark, folder):
-    return bands.overlaps(_claims(spark, folder), ["o_custkey"], order=["o_orderkey"])
+    return bands.overlaps(_claims(spark, folder), ["o_custkey"], order=["o_orderkey"]).withColumnRenamed("overlaps", "overlapping")
 
 
 @Q.add(f"""WITH c AS ({_CLAIMS}), r AS (SELECT o_custkey, y0, y1, coalesce(max(y1) OVER (PARTITION BY o_custkey ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM c),
