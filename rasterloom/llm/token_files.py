@@ -104,16 +104,16 @@ def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byt
     planes = max(1, int(ids.max()).bit_length()) if n else 1
     sections = [
         np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
-        np.packbits([x is None for x in doc_ids]).tobytes(),
+        np.packbits(np.array([x is None for x in doc_ids], bool)).tobytes(),
         np.array(lengths, "<i8").tobytes(),
     ]
     zeros = []
     for level in range(planes - 1, -1, -1):
         one = (ids & ids.dtype.type(1 << level)).astype(bool)
         sections.append(np.packbits(one).tobytes())
-        low = ids[~one]
+        low = np.compress(~one, ids)
         zeros.append(len(low))
-        ids = np.concatenate((low, ids[one]))
+        ids = np.concatenate((low, np.compress(one, ids)))
     sections.insert(0, np.array(zeros, "<i8").tobytes())
     packer = zstandard.ZstdCompressor(level=1)
     packed = [packer.compress(s) for s in sections]
@@ -219,8 +219,8 @@ class Shard:
         for plane in range(self.planes - 1, -1, -1):
             one, zeros = self._bits(plane), int(self.zeros[plane])
             out = np.empty_like(values)
-            out[~one] = values[:zeros]
-            out[one] = values[zeros:] | values.dtype.type(1 << (self.planes - 1 - plane))
+            out[np.flatnonzero(~one)] = values[:zeros]
+            out[np.flatnonzero(one)] = values[zeros:] | values.dtype.type(1 << (self.planes - 1 - plane))
             values = out
         return values
 
