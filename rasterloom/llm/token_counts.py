@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from ._base import as_texts, map_batches
 
 MARK = "▁"
-CACHE = 300_000
+#: Parts a worker remembers, and the longest of them; pairs of pieces it remembers.
+CACHE, LONGEST, PAIRS = 1_000_000, 64, 400_000
 _L = "0-9A-Za-z\u00c0-\u024f"
 _FINE = re.compile(f"\n|{MARK}+[^{_L}{MARK}\n]*[{_L}]*|[^{_L}{MARK}\n]+[{_L}]*|[{_L}]+")
 _COARSE = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -52,6 +53,9 @@ class PrefixCounter:
         if any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.rank):
             raise ValueError("this vocabulary has pieces that go on past a word's end")
         self.cut = _COARSE if any(re.search(f"[{_L}][^{_L}{MARK}]", p) for p in self.rank) else _FINE
+        self.line_end = self.sp.piece_to_id("<0x0A>")
+        if self.sp.encode("\n")[-1] != self.line_end:
+            raise ValueError("this vocabulary does not write a line end as a byte")
         self.alphabet = frozenset(p for p in self.rank if len(p) == 1)
         # pieces that merging their own characters does not rebuild never end an encoding
         self.whole = ahocorasick.Automaton()
@@ -77,7 +81,7 @@ class PrefixCounter:
         """Whether two pieces next to each other are both left as they are."""
         got = self.joins.get((a, b))
         if got is None:
-            if len(self.joins) >= CACHE:
+            if len(self.joins) >= PAIRS:
                 self.joins.clear()
             got = self.joins[a, b] = self._merged(a + b) == [a, b]
         return got
@@ -114,12 +118,18 @@ class PrefixCounter:
         return counts if all(last[1:]) else None
 
     def _library(self, parts: list[str]) -> list[int]:
-        """Counts by the library, of parts as they are within a text."""
-        # a line end is no part of any piece and takes the mark that the library puts first
-        return [len(ids) - 2 for ids in self.sp.encode(["\n" + p.replace(MARK, " ") for p in parts], num_threads=1)]
+        """Counts by the library, of parts as they are within a text.
+
+        Line ends belong to no piece, so parts between line ends are encoded in one go.
+        """
+        if "\n" in parts:
+            counts = iter(self._library([p for p in parts if p != "\n"]))
+            return [1 if p == "\n" else next(counts) for p in parts]
+        ids = self.sp.encode("\n" + "".join(p.replace(MARK, " ") + "\n" for p in parts))
+        return (np.diff(np.flatnonzero(np.array(ids) == self.line_end)) - 1).tolist()
 
     def _by_library(self, part: str) -> list[int]:
-        return [0, *self._library([part[:i] for i in range(1, len(part) + 1)])]
+        return [0, *self._library([part[:i] for i in range(1, len(part) + 1)])] if part != "\n" else [0, 1]
 
     def parts(self, text: str) -> list[str]:
         """The text as the model sees it, cut where no piece goes on."""
@@ -142,21 +152,23 @@ class PrefixCounter:
         fits = np.flatnonzero(self.prefix_counts(text) <= budget)
         return text[:int(fits[-1])] if len(fits) else ""
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.totals) + len(parts) > CACHE:
-            self.totals.clear()
-        for part, total in zip(parts, self._library(parts)):
-            counts = self._steps(part)
-            self.totals[part] = counts[-1] if counts and counts[-1] == total else total
+    def _total(self, part: str, by_library: int) -> int:
+        counts = self._steps(part)
+        return counts[-1] if counts and counts[-1] == by_library else by_library
 
     def count_and_fit(self, text: str, budget: int) -> tuple[int, int]:
         """Tokens of the whole text, and the length of its longest prefix within the budget."""
         parts = self.parts(text)
-        if set(parts).difference(self.totals):
-            self._learn(list(set(parts).difference(self.totals)))
-            if left := set(parts).difference(self.totals):  # the cache has just been emptied
-                self._learn(list(left))
-        ends = list(accumulate(map(self.totals.__getitem__, parts)))
+        known = self.totals
+        new = [p for p in set(parts) if p not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list(set(parts))
+        known.update((p, self._total(p, n)) for p, n in zip(new, self._library(new)))
+        ends = list(accumulate(map(known.__getitem__, parts)))
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
         if not ends or ends[-1] <= budget:
             return (ends[-1] if ends else 0), len(text)
         k = int(np.searchsorted(ends, budget, side="right"))
