@@ -99,7 +99,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def band_cuts(height: str, least: str, align: str, workers: str, per_worker: str) -> Column:
     """First rows of bands as an array, from the names or values of the five numbers."""
-    n = f"if({workers} <= 1, 1, greatest(1, least({workers} * {per_worker}, {height} div greatest(1, {least}))))"
+    n = f"if({workers} <= 1, 1, greatest(1, least({workers} * {per_worker}, {height} div greatest(1, {least}, {align}))))"
     return F.expr(
         f"array_sort(array_distinct(filter(transform(sequence(0, {n} - 1), "
         f"i -> if(i = 0, 0, ((i * {height}) div ({n})) div {align} * {align})), c -> c = 0 or (c > 0 and c < {height}))))"
@@ -141,3 +141,10 @@ def nearest_colour(pixel: list[Column], palette: list[tuple[int, ...]]) -> Colum
     squares = lambda c: sum((F.shiftright((p - c[i]) * (p - c[i]), 2) for i, p in enumerate(pixel)), F.lit(0).cast("long"))
     scored = F.transform(table, lambda c, i: F.struct(squares(c).alias("d"), i.alias("i")))
     return F.array_min(scored)["i"]
+
+
+def restart_rows(mcu_rows: str, mcus: str, workers: int, least: int = 4, per_worker: int = 2) -> Column:
+    """MCU rows of a restart interval, from the names of an image's MCU rows and MCUs a row."""
+    n = "1" if workers <= 1 else f"greatest(1, least({workers * per_worker}, {mcu_rows} div {least}))"
+    k = f"(({mcu_rows} + {n} - 1) div {n})"
+    return F.expr(f"if({k} * {mcus} > 65535, 65535 div {mcus}, {k})")

@@ -31,7 +31,11 @@ def sub_blocks(stream: bytes) -> bytes:
 
 @dataclass(frozen=True)
 class Frame:
-    """Indices ``(h, w)``, palette, place, delay in hundredths, disposal."""
+    """Indices ``(h, w)``, palette, place, delay in hundredths, disposal.
+
+    A palette's first colour without any alpha is the transparent one, unless
+    another is named.
+    """
 
     indices: np.ndarray
     palette: tuple
@@ -42,10 +46,25 @@ class Frame:
     transparent: int | None = field(default=None)
 
 
+def clear_index(frame: Frame) -> int | None:
+    """The transparent index of a frame."""
+    if frame.transparent is not None:
+        return frame.transparent
+    return next((i for i, c in enumerate(frame.palette) if len(c) > 3 and c[3] == 0), None)
+
+
+def shares_table(palette, first, clear: int | None) -> bool:
+    """Whether a palette is written as the first one is; its transparent entry does not matter."""
+    if len(colour_table(palette)) > len(colour_table(first)):
+        return False
+    shown = [bytes(c[:3]) for c in first] + [bytes(3)] * (len(palette) - len(first))
+    return all(i == clear or bytes(c[:3]) == shown[i] for i, c in enumerate(palette))
+
+
 def lzw_stream(indices: np.ndarray, literal_width: int, n_workers: int = 1, band_pixels: int = BAND_PIXELS) -> bytes:
     """The stream of a frame, its bands coded apart and spliced."""
     h, w = indices.shape
-    cuts = split(h, max(1, -(-band_pixels // w)), 1, n_workers, PER_WORKER)
+    cuts = split(h, max(1, band_pixels // w), 1, n_workers, PER_WORKER)
     parts = [lzw.gif_band(indices[a:b].astype(np.uint8).tobytes(), literal_width, a == 0, b == h) for a, b in zip(cuts, cuts[1:])]
     return bits.splice(parts)[0]
 
@@ -67,10 +86,11 @@ def encode(frames: list[Frame], width: int, height: int, loops: int = -1, n_work
             raise ValueError("a frame is empty or leaves the canvas")
         if not 1 <= len(f.palette) <= 256:
             raise ValueError("a palette has 1 to 256 colours")
-        if f.delay or f.disposal or f.transparent is not None:
-            flags = f.disposal << 2 | (f.transparent is not None)
-            out.append(b"\x21\xf9\x04" + struct.pack("<BHB", flags, f.delay, f.transparent or 0) + b"\0")
-        same = colour_table(f.palette) == colour_table(first)
+        clear = clear_index(f)
+        if f.delay or f.disposal or clear is not None:
+            flags = f.disposal << 2 | (clear is not None)
+            out.append(b"\x21\xf9\x04" + struct.pack("<BHB", flags, f.delay, clear or 0) + b"\0")
+        same = shares_table(f.palette, first, clear)
         out.append(struct.pack("<B4HB", 0x2C, f.x, f.y, w, h, 0 if same else 0x80 | table_bits(len(f.palette))))
         if not same:
             out.append(colour_table(f.palette))

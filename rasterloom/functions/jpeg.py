@@ -7,7 +7,6 @@ import struct
 import numpy as np
 
 from . import bits, blocks
-from .bands import split
 from .prefix_codes import canonical
 
 # The standard's annex K codes - how many of each length, and their symbols.
@@ -90,13 +89,11 @@ def _segment(marker: int, data: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(data) + 2) + data
 
 
-def interval_rows(mcu_rows: int, mcus_per_row: int, n_workers: int, least: int = 4) -> int:
-    """MCU rows of each restart interval (all of them where there is only one)."""
-    n = len(split(mcu_rows, least, 1, n_workers, 2)) - 1
+def interval_rows(mcu_rows: int, mcus_per_row: int, n_workers: int, least: int = 4, per_worker: int = 2) -> int:
+    """MCU rows of each restart interval, of which two bytes must hold the MCUs."""
+    n = 1 if n_workers <= 1 else max(1, min(n_workers * per_worker, mcu_rows // least))
     k = -(-mcu_rows // n)
-    while k > 1 and k * mcus_per_row > 0xFFFF and n > 1:
-        k -= 1
-    return mcu_rows if k * mcus_per_row > 0xFFFF else k
+    return 0xFFFF // mcus_per_row if k * mcus_per_row > 0xFFFF else k
 
 
 def encode(pixels: np.ndarray, model: str = "rgb", quality: int = 75, n_workers: int = 1, subsample: bool = True) -> bytes:

@@ -176,7 +176,7 @@ def encode_band(rows: np.ndarray, first: int, stop: int, layout: Layout, options
 
 def image_bands(layout: Layout, options: Options) -> list[int]:
     """First rows of the bands, and the height."""
-    least = max(options.band_rows, -(-options.band_bytes // (layout.row_bytes + 1)))
+    least = max(options.band_rows, -(-options.band_bytes // layout.row_bytes))
     return split(layout.height, least, 1, options.workers, PER_WORKER)
 
 

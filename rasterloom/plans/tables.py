@@ -35,6 +35,30 @@ def band_split(spark, folder):
     return bands.cut(heights, "height", 200, 16, 3, 2).select("o_orderkey", "band", "y0", "y1")
 
 
+@Q.add("""WITH s AS (SELECT doc_id, (n_chars % 9000 * 7 % 60000 + 1 + 15) // 16 AS mcus, (doc_id * 4001 % 65000 + 1 + 15) // 16 AS mcu_rows FROM documents),
+n AS (SELECT *, greatest(1, least(32, mcu_rows // 4)) AS n FROM s), k AS (SELECT *, (mcu_rows + n - 1) // n AS k FROM n),
+r AS (SELECT *, CASE WHEN k * mcus > 65535 THEN 65535 // mcus ELSE k END AS per FROM k)
+SELECT doc_id, per::BIGINT AS mcu_rows_each, ((mcu_rows + per - 1) // per)::BIGINT AS intervals, (per * mcus)::BIGINT AS restart_interval FROM r""")
+def restart_intervals(spark, folder):
+    """Restart intervals of images of sizes made from the documents."""
+    sizes = table(spark, folder, "documents").select(
+        "doc_id", F.expr("(n_chars % 9000 * 7 % 60000 + 16) div 16").alias("mcus"), F.expr("(doc_id * 4001 % 65000 + 16) div 16").alias("mcu_rows")
+    )
+    per = sizes.withColumn("mcu_rows_each", C.restart_rows("mcu_rows", "mcus", 16))
+    return per.select("doc_id", "mcu_rows_each", F.expr("(mcu_rows + mcu_rows_each - 1) div mcu_rows_each").alias("intervals"), F.expr("mcu_rows_each * mcus").alias("restart_interval"))
+
+
+@Q.add("""WITH s AS (SELECT doc_id, n_chars % 5000 + 1 AS row_bytes, doc_id * 37 % 9000 + 1 AS height FROM documents),
+n AS (SELECT *, greatest(1, least(16, height // greatest(1, (262144 + row_bytes - 1) // row_bytes))) AS n FROM s), p AS (SELECT *, CASE WHEN n = 1 THEN height ELSE height // n END AS per FROM n)
+SELECT doc_id, per::BIGINT AS rows_per_strip, ((height + per - 1) // per)::BIGINT AS strips FROM p""")
+def strip_plan(spark, folder):
+    """Rows of a strip: the height of the first band, and as many strips as that gives."""
+    sizes = table(spark, folder, "documents").select("doc_id", (F.col("n_chars") % 5000 + 1).alias("row_bytes"), (F.col("doc_id") * 37 % 9000 + 1).alias("height"))
+    cuts = C.band_cuts("height", "((262144 + row_bytes - 1) div row_bytes)", "1", "8", "2")
+    per = sizes.withColumn("rows_per_strip", F.coalesce(F.get(cuts, F.lit(1)), F.col("height")))
+    return per.select("doc_id", "rows_per_strip", F.expr("(height + rows_per_strip - 1) div rows_per_strip").alias("strips"))
+
+
 @Q.add("""SELECT source, doc_id, n::BIGINT AS n_bytes, (8 + coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first
 FROM (SELECT source, doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)""")
 def strip_offsets(spark, folder):

@@ -278,6 +278,10 @@ def test_gif_holds_the_frames():
         got = gif.decode(gif.encode(frames, 90, 100, 0, workers, band))
         for (indices, table), f in zip(got, frames):
             assert (indices == f.indices).all() and (table[:len(f.palette)] == np.array(f.palette)).all()
+    clear = tuple((9, 9, 9, 0) if i == 3 else (i, 0, i, 255) for i in range(7))
+    file = gif.encode([gif.Frame(x, first), gif.Frame(x, clear), gif.Frame(x % 2, first[:2])], 90, 100)
+    assert file.count(b"\x21\xf9\x04\x01\x00\x00\x03\x00") == 1  # index 3 is see-through; all share one table
+    assert all((table == gif.decode(file)[0][1]).all() for _, table in gif.decode(file))
     for bad in ([], [gif.Frame(x, first, x=1)], [gif.Frame(x, ())], [gif.Frame(x, first[:3])]):
         with pytest.raises(ValueError):
             gif.encode(bad, 90, 100)
@@ -495,6 +499,8 @@ def test_split_covers_the_rows():
         cuts = bands.split(h, least, align, n, per)
         assert cuts[0] == 0 and cuts[-1] == h and all(a < b for a, b in zip(cuts, cuts[1:]))
         assert all(c % align == 0 for c in cuts[1:-1]) and (n > 1 or len(cuts) == 2)
+    assert len(bands.split(100, 1, 8, 8, 2)) == 13 and bands.split(100, 1, 1, 8, 2)[1] == 6
+    assert jpeg.interval_rows(4096, 4096, 1) == 15 and jpeg.interval_rows(94, 125, 16) == 5 and jpeg.interval_rows(20, 10, 1) == 20
     assert bands.workers(3) == 3 and bands.workers(0) >= 1
 
 
