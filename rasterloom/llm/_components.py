@@ -36,7 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         now = checkpointed(_small_star(_large_star(now)))
-        seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum((F.col("u") % 1000003) + (F.col("v") % 998244353))).first()
+        seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if seen == state or seen[0] == 0:
             break
         state = seen

@@ -173,3 +173,12 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
     A column that has the name of the score already is replaced.
     """
     return with_statistics(docs, text_col, prefix).withColumn(score, model.score(prefix))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents with at least that score, their columns unchanged."""
+    # Spark would move the filter below the statistics and so compute them anew for
+    # every rule; next to a column that is not deterministic it leaves them be
+    rows = with_statistics(docs, text_col, "_stat_").withColumn("_stat_row", F.monotonically_increasing_id())
+    kept = rows.filter((model.score("_stat_") >= threshold) & (F.col("_stat_row") >= 0))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -180,6 +180,9 @@ def test_scores_of_odd_tables(spark, tiny):
     assert quality.scored(docs.limit(0), model).count() == 0
     model = quality.fit(spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/labels.parquet"))
     assert quality.scored(docs, model).filter("score is null").count() == 0
+    kept = quality.accepted(docs, model)
+    assert kept.columns == docs.columns and kept.exceptAll(quality.scored(docs, model, score="s").filter("s >= 0.5").select(docs.columns)).count() == 0
+    assert "regexp_replace" not in [x for x in kept._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x][0]
 
 
 def test_compiled_rules_give_the_fitted_scores(spark):
