@@ -5,8 +5,8 @@ the stage before it kept; its result is written as Parquet and read again.
 All stages but the last return the columns of ``documents``.
 
 1. ``quality``: documents that the rule ensemble scores under 0.5 go.
-2. ``near_duplicates``: one document of each SimHash group stays (shingles of
-   five words, fingerprints within three bits).
+2. ``near_duplicates``: one document of each group stays: SimHash blocks
+   propose pairs, a similarity of 0.8 or more of their five-word shingles links.
 3. ``decontamination``: documents that hold a benchmark item go.
 4. ``mixing``: sources in proportion to what is left of them, interleaved; the
    rows are written in the order of the mix.
@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontamination, mixing, quality, simhash, token_files
+from rasterloom.llm import decontamination, mixing, quality, similar, token_files
 from rasterloom.llm._base import shared_dir
 from rasterloom.llm.queries import held_out, table
 
@@ -31,12 +31,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents with a quality score of 0.5 or more; the model learns from labels not held out."""
     labels = table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(~held_out(labels["doc_id"])))
-    return quality.scored(docs, model, score="_stat_score").filter("_stat_score >= 0.5").select(*docs.columns)
+    return quality.accepted(docs, model, 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return simhash.representatives(docs, width=5)
+    return similar.representatives(docs, width=5, similarity=0.8)
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
