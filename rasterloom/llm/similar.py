@@ -10,10 +10,15 @@ blocks one is shared with probability 0.998 at 0.8 (and more above).
 
 Texts that share a block are joined on it; the Hamming distance of 256-bit
 whole-text fingerprints is verified, and a least spanning forest by that
-distance is emitted: at most m - 1 edges of m texts, never their pairs.  Each
-edge is then held against the exact similarity of the two shingle sets.  Keys
-held by many texts are cut into chunks, and pairs of chunks are tasks of their
-own (as in ``simhash``).  Texts of the same words are one node throughout.
+distance is emitted with each text's four nearest: at most 5 m edges of m texts,
+never their pairs.  Each edge is then held against the similarity of the two
+sets of shingles.  Texts of the same words are one node throughout.
+
+A block held by more than ``chunk`` texts is not compared all against all.  Its
+texts are first held against eight pivots, a linear number of edges, verified
+at once; what they link is connected already.  Only texts outside the block's
+largest group so far are then compared with the others, in tasks of two chunks
+at most.  A large group of near copies thus costs a few times its size.
 
 Defined results: a null or empty text, or one of blanks, has no words; all of
 those are copies of each other.  Of a group the row of least id stays (null ids
@@ -31,11 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import as_bytes, written
+from ._base import as_bytes, claim_worker, written
 from ._components import components
 
 WORDS = 4  # 64-bit words of a whole-text fingerprint
-FAR = 72  # bits beyond which a pair of similarity 0.8 lies once in millions
+FAR = 58  # bits: a pair of similarity 0.8 lies at 39, seldom over 6 away, and thrice that once in thousands
+NEAREST = 4
 _STEP = 1 << 14
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -84,6 +90,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, blocks: in
     types = dict(source.dtypes) | {"node": "string", "blocks": "array<long>", "print": "array<long>"}
 
     def run(batches):
+        claim_worker("similar")
         for batch in batches:
             nodes, keys, prints = [], [], []
             for raw in as_bytes(batch.column(1)):
@@ -98,94 +105,161 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, blocks: in
     return source.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
 
 
-def least_forest(prints: np.ndarray, far: int) -> list[tuple[int, int]]:
+def row_keys(docs: DataFrame) -> tuple:
+    """Two hashes of all columns, by which a row is found again."""
+    every = [docs[c] for c in docs.columns]
+    return F.xxhash64(*every).alias("_row_a"), F.xxhash64(F.lit("b"), *every).alias("_row_b")
+
+
+def least_forest(prints: np.ndarray, far: int, roots: np.ndarray | None = None, nearest: int = 0) -> list[tuple[int, int]]:
     """Edges of a least spanning forest by Hamming distance, none longer than ``far``.
 
-    Grown from one place at a time: what is not yet reached keeps its nearest
-    reached place, so memory is one row of distances.
+    Places of the same root are connected already and get no edge.  Grown from
+    one place at a time: what is not yet reached keeps its nearest reached place,
+    so memory is one row of distances.  ``nearest`` adds that many edges a place.
     """
     n = len(prints)
+    roots = np.arange(n) if roots is None else roots
+
+    def to(node: int, places: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count(prints[places] ^ prints[node]).sum(axis=1, dtype=np.int64)
+        return np.where(roots[places] == roots[node], -1, d)
+
     left = np.arange(1, n)
-    near = np.zeros(n - 1, np.int64)
-    distance = np.bitwise_count(prints[left] ^ prints[0]).sum(axis=1, dtype=np.int64)
+    near = np.zeros(max(0, n - 1), np.int64)
+    distance = to(0, left) if n else near
     edges = []
     while len(left):
         k = int(distance.argmin())
         node = int(left[k])
-        if distance[k] <= far:
+        if 0 <= distance[k] <= far:
             edges.append((int(near[k]), node))
         left, near, distance = np.delete(left, k), np.delete(near, k), np.delete(distance, k)
-        to_new = np.bitwise_count(prints[left] ^ prints[node]).sum(axis=1, dtype=np.int64)
+        to_new = to(node, left)
         closer = to_new < distance
         distance[closer], near[closer] = to_new[closer], node
+    if nearest:
+        every = np.arange(n)
+        for node in range(n):
+            d = to(node, every)
+            d[d < 0] = far + 1
+            for k in np.argpartition(d, nearest - 1)[:nearest] if n > nearest else every:
+                if d[k] <= far:
+                    edges.append((min(node, int(k)), max(node, int(k))))
     return edges
 
 
-def candidates(nodes: DataFrame, chunk: int) -> DataFrame:
-    """Edges ``(u, v)`` over nodes that share a block, near by their fingerprints."""
+PIVOTS = 8
+
+
+def shared_blocks(nodes: DataFrame) -> DataFrame:
+    """``(choice, bits, node, print, n)`` of blocks that n > 1 nodes hold."""
     keyed = nodes.select("node", "print", F.posexplode("blocks").alias("choice", "bits")).filter("bits is not null")
     sizes = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = keyed.join(sizes, ["choice", "bits"])
-    shared = shared.withColumn("g", F.ceil(F.col("n") / F.lit(chunk)).cast("int")).withColumn("c", F.expr("cast(pmod(xxhash64(node), g) as int)"))
-    pairs = F.explode(F.expr("transform(sequence(0, g - 1), o -> struct(least(c, o) as i, greatest(c, o) as j))"))
-    dealt = shared.select("choice", "bits", "node", "print", pairs.alias("pair")).select("choice", "bits", "pair.i", "pair.j", "node", "print")
+    return keyed.join(sizes, ["choice", "bits"])
+
+
+def _edge(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+
+def pivot_edges(hot: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` from the texts of each block to its pivots, near by their fingerprints."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    chosen = hot.groupBy("choice", "bits", slot.alias("slot")).agg(F.min_by(F.struct("node", "print"), F.xxhash64("node", F.lit(1))).alias("pivot"))
+    pairs = hot.join(chosen.select("choice", "bits", "pivot"), ["choice", "bits"]).filter("node != pivot.node")
+    apart = sum((F.bit_count(F.col("print")[i].bitwiseXOR(F.col("pivot.print")[i])) for i in range(WORDS)), F.lit(0))
+    return pairs.filter(apart <= FAR).select(*_edge("node", "pivot.node")).distinct()
+
+
+def dealt_small(shared: DataFrame) -> DataFrame:
+    """A block a task: ``(choice, bits, i, j, node, print, root)``, every node its own root."""
+    return shared.select("choice", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "print", F.col("node").alias("root"))
+
+
+def dealt_hot(hot: DataFrame, roots: DataFrame, chunk: int) -> DataFrame:
+    """Chunks of the texts outside each block's largest group, with chunks of all its texts."""
+    rooted = hot.drop("n").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("choice", "bits", "node", "print", F.coalesce("root", "node").alias("root"))
+    counted = rooted.groupBy("choice", "bits", "root").agg(F.count(F.lit(1)).alias("k"))
+    blocks = counted.groupBy("choice", "bits").agg(F.max_by("root", "k").alias("top"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
+    parts = lambda c: F.ceil(F.col(c) / F.lit(chunk)).cast("int")
+    rows = rooted.join(blocks, ["choice", "bits"]).withColumns({"gi": parts("others"), "gj": parts("n")})
+    rows = rows.withColumns({"ci": F.expr("cast(pmod(xxhash64(node), gi) as int)"), "cj": F.expr("cast(pmod(xxhash64(node), gj) as int)")})
+    own = F.expr("if(root != top, transform(sequence(0, gj - 1), j -> struct(ci as i, j as j)), array())")
+    whole = F.expr("transform(sequence(0, gi - 1), i -> struct(i as i, cj as j))")
+    dealt = rows.select("choice", "bits", "node", "print", "root", F.explode(F.array_distinct(F.concat(own, whole))).alias("pair"))
+    return dealt.select("choice", "bits", "pair.i", "pair.j", "node", "print", "root")
+
+
+def candidates(dealt: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` over nodes dealt to the same task, near by their fingerprints."""
     near = dealt.repartition("choice", "bits", "i", "j").sortWithinPartitions("choice", "bits", "i", "j")
 
     def verify(batches):
-        at, names, prints = None, [], []
+        claim_worker("similar")
+        at, names, prints, roots = None, [], [], []
 
         def done():
             if len(names) < 2:
-                return None
-            edges = least_forest(np.array(prints, np.int64).view(np.uint64), FAR)
+                return []
+            _, group = np.unique(np.array(roots), return_inverse=True)
+            edges = set(least_forest(np.array(prints, np.int64).view(np.uint64), FAR, group, NEAREST))
             return [(names[a], names[b]) for a, b in edges]
 
         for batch in batches:
             out = []
             keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
-            for key, name, words in zip(keys, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            for key, name, words, root in zip(keys, *(batch.column(i).to_pylist() for i in (4, 5, 6))):
                 if key != at:
-                    out += done() or []
-                    at, names, prints = key, [], []
+                    out += done()
+                    at, names, prints, roots = key, [], [], []
                 names.append(name)
                 prints.append(words)
+                roots.append(root)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["u", "v"])
         if last := done():
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*last)], names=["u", "v"])
 
     found = near.mapInArrow(verify, "u string, v string")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return found.select(*_edge("u", "v")).distinct()
+
+
+def links(nodes: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float, chunk: int) -> DataFrame:
+    """Verified edges that connect all nodes found near each other."""
+    shared = shared_blocks(nodes)
+    small, hot = shared.filter(F.col("n") <= chunk), shared.filter(F.col("n") > chunk)
+    if not hot.limit(1).count():
+        return verified(written(candidates(dealt_small(small)), "candidates"), docs, own, text_col, width, similarity)
+    first = written(verified(written(pivot_edges(hot), "pivots"), docs, own, text_col, width, similarity), "pivot-links")
+    dealt = dealt_small(small).unionByName(dealt_hot(hot, components(first), chunk))
+    return first.unionByName(verified(written(candidates(dealt), "candidates"), docs, own, text_col, width, similarity))
+
 
+def verified(edges: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The edges whose texts have at least that share of distinct shingles in common.
 
-def verified(edges: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The edges whose texts have at least that share of distinct shingles in common."""
+    Shingles are told apart by 32 bits of their hashes, which moves a share by less
+    than one shingle in any text of fewer than some ten thousand words.
+    """
     ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
     def sets(batches):
         for batch in batches:
-            nodes, found = [], []
-            for raw in as_bytes(batch.column(0)):
-                words = raw.lower().split()
-                nodes.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                found.append(shingle_set(words, width).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found, pa.binary())], names=["node", "shingles"])
-
-    def nodes(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(b" ".join(raw.lower().split())) for raw in as_bytes(batch.column(0))]), batch.column(0)], names=["n", "t"])
+            found = [np.unique(shingle_set(raw.lower().split(), width).astype(np.uint32)).tobytes() for raw in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select(docs[text_col].cast("string").alias("t"))
-    # a text for each node that has an edge; only those are made into sets and shuffled
-    wanted = texts.mapInArrow(nodes, "n string, t string").join(ends, F.col("n") == F.col("node"), "left_semi").dropDuplicates(["n"]).select("t")
-    table = written(wanted.mapInArrow(sets, "node string, shingles binary"), "shingles")
+    # one row of each node that has an edge, fetched by the hash of that row: copies do not meet
+    rows = own.join(ends, "node").select("node", "first._row_a", "first._row_b")
+    texts = docs.select(docs[text_col].cast("string").alias("t"), *row_keys(docs)).join(rows, ["_row_a", "_row_b"]).select("node", "t")
+    table = written(texts.mapInArrow(sets, "node string, shingles binary"), "shingles").dropDuplicates(["node"])
     pairs = edges.join(table.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(table.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
 
     def check(batches):
         for batch in batches:
             kept = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 kept.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
             mask = pa.array(kept, pa.bool_())
@@ -194,19 +268,16 @@ def verified(edges: DataFrame, docs: DataFrame, text_col: str, width: int, simil
     return pairs.mapInArrow(check, "u string, v string")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, blocks: int = 12, sample: int = 4, chunk: int = 4096) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, blocks: int = 12, sample: int = 4, chunk: int = 1024) -> DataFrame:
     """The rows of ``docs``, one of each group of near duplicates, all columns kept."""
-    every = [docs[c] for c in docs.columns]
-    keys = (F.xxhash64(*every).alias("_row_a"), F.xxhash64(F.lit("b"), *every).alias("_row_b"))
+    keys = row_keys(docs)
     found = written(sketches(docs, id_col, text_col, width, blocks, sample, keys), "sketches")
     nodes = found.select("node", "blocks", "print").dropDuplicates(["node"])
-    edges = verified(written(candidates(nodes, chunk), "candidates"), docs, text_col, width, similarity)
-    roots = components(edges)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_a", "_row_b")).alias("first")
-    # the least row of each node first, so that copies do not meet in the join
-    own = found.groupBy("node").agg(first)
-    winners = own.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
-    kept = docs.select(*every, *keys).join(winners.select("first._row_a", "first._row_b"), ["_row_a", "_row_b"], "left_semi")
+    # the least row of each node: copies are one row from here on
+    own = written(found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_a", "_row_b")).alias("first")), "nodes")
+    roots = components(links(nodes, docs, own, text_col, width, similarity, chunk)).withColumnRenamed("node", "n")
+    winners = own.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    kept = docs.select(*(docs[c] for c in docs.columns), *keys).join(winners.select("first._row_a", "first._row_b"), ["_row_a", "_row_b"], "left_semi")
     if found.groupBy("_row_a", "_row_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["_row_a", "_row_b"])
     return kept.select(*docs.columns)

@@ -40,7 +40,7 @@ def made(rng, n, vocabulary=400):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
 
-@pytest.mark.parametrize("chunk", [4096, 7])
+@pytest.mark.parametrize("chunk", [1024, 5])
 def test_one_row_of_each_group_stays(spark, chunk):
     rng = random.Random(1)
     rows = []
@@ -51,6 +51,12 @@ def test_one_row_of_each_group_stays(spark, chunk):
             for _ in range(rng.randrange(0, 1 + len(words) // 60) if k else 0):
                 words[rng.randrange(len(words))] = "changed"
             rows.append((100 * g + k, " ".join(words).upper() if k == 5 else " ".join(words), "x", None))
+    large = made(rng, 300)  # a group larger than a chunk: near copies of one text, and some a little farther
+    for k in range(60):
+        words = list(large)
+        for _ in range(k % 8):
+            words[rng.randrange(300)] = "other"
+        rows.append((3000 + k, " ".join(words), "x", "z"))
     shared = " ".join(made(rng, 55))  # a passage that unlike texts share
     rows += [(5000 + k, " ".join(made(rng, 200)) + " " + shared, "x", "y") for k in range(20)]
     rows += [(7000, None, None, "a"), (7001, "", "x", "b"), (7002, " \n ", "x", "c"), (None, "no id here but some words", "x", "d"), (7004, "once more and again and more", "x", "e"), (7004, "once more and again and more", "x", "e")]
@@ -81,6 +87,9 @@ def test_forest_is_least_and_spans():
             total += d
     assert sum(int(distance[a, b]) for a, b in edges) == total
     assert similar.least_forest(prints, 0) == []
+    halves = np.arange(40) % 2
+    (a, b), = similar.least_forest(prints, 256, halves)
+    assert distance[a, b] == distance[halves[:, None] != halves[None]].min()
 
 
 def test_block_recall_at_the_threshold():
