@@ -59,6 +59,25 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+_tables: dict[str, Callable[[], None]] = {}
+_owner: list[str] = []
+
+
+def worker_table(name: str, clear: Callable[[], None]) -> None:
+    """Make known how to drop what an operator keeps in a Python worker between tasks."""
+    _tables[name] = clear
+
+
+def claim_worker(name: str) -> None:
+    """Drop what other operators have left in this worker: workers outlive stages."""
+    if _owner == [name]:
+        return
+    for other, clear in _tables.items():
+        if other != name:
+            clear()
+    _owner[:] = [name]
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; a null is an empty text."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import as_texts, map_batches
+from ._base import as_texts, claim_worker, map_batches, worker_table
 
 _WORDS = re.compile(r"\w+")
 _STEP = 1 << 13
@@ -202,12 +202,16 @@ class _Shared:
         self.items, self.settings, self.name = items, settings, uuid.uuid4().hex
 
     def get(self) -> Benchmark:
+        claim_worker("decontamination")
         if self.name not in self._open:
             self._open.clear()
             self._open[self.name] = Benchmark(self.items.value, *self.settings)
         return self._open[self.name]
 
 
+worker_table("decontamination", _Shared._open.clear)
+
+
 def _slices(items: DataFrame, item_col: str, text_col: str, max_bytes: int):
     """The items on the driver, in slices of about ``max_bytes`` at most."""
     rows = items.select(items[item_col].alias("i"), F.coalesce(items[text_col], F.lit("")).alias("t"))

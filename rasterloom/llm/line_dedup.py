@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import as_bytes
+from ._base import as_bytes, claim_worker, worker_table
 
 _BLANK = b" \t\n\r\x0b\x0c"
 _SEGMENT_BITS = 1 << 22
@@ -146,6 +146,9 @@ class _Filter:
         return [k for k, h in zip(keys, hit.all(axis=1)) if h]
 
 
+worker_table("line_dedup", _Filter._open.clear)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, filter_bits: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_dropped, text)`` with repeated lines taken out.
 
@@ -162,6 +165,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, filter_
     probe = _Filter(spark.sparkContext.broadcast(bits), filter_bits)
 
     def suspected(raw: bytes) -> list[bytes]:
+        claim_worker("line_dedup")
         keys = list({k for k in line_keys(raw) if _long(k, min_chars)})
         return probe.suspects(keys) if keys else []
 

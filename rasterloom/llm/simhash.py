@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import as_bytes, map_batches, written
+from ._base import as_bytes, claim_worker, map_batches, written
 from ._components import components
 
 _hash = xxhash.xxh64_intdigest
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     types = dict(source.dtypes)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim_worker("simhash")
         fps = np.array([fingerprint(x, width, seed) for x in as_bytes(batch.column(1))], np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=names)
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._base import as_texts, map_batches
+from ._base import as_texts, claim_worker, map_batches, worker_table
 
 MARK = "▁"
 #: Parts a worker remembers, and the longest of them; pairs of pieces it remembers.
@@ -184,6 +184,9 @@ def counter(model_file: str) -> PrefixCounter:
     return PrefixCounter(model_file)
 
 
+worker_table("token_counts", counter.cache_clear)
+
+
 def count_tokens(docs: DataFrame, model_file: str, budget: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit, n_fitting)`` per input row.
 
@@ -193,6 +196,7 @@ def count_tokens(docs: DataFrame, model_file: str, budget: int = 4096, id_col: s
     source = docs.select(docs[id_col], docs[text_col])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim_worker("token_counts")
         model = counter(model_file)
         texts = as_texts(batch.column(1))
         found = [model.count_and_fit(t, budget) for t in texts]
