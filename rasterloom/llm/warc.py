@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ._base import as_bytes, written
 
 _GZIP = 31
+#: Repeated digests up to which their table (some 100 bytes a row) is broadcast; beyond, rows are shuffled to it.
+BROADCAST_ROWS = 200_000
 _PIECE = 1 << 20
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -129,19 +131,23 @@ def normalise_archive(gz: bytes, level: int = 6) -> tuple[bytes, list[tuple[int,
     return bytes(out), index
 
 
-def decisions(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
+def decisions(pages: DataFrame, min_bytes: int = 100, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pages with ``payload``, ``digest`` and ``refers_to`` (null: a response)."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = rows.filter(F.octet_length("payload") >= min_bytes)
     # one row for each digest that occurs again; counted before the shuffle
     again = large.groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("d"), "least")
+    again = written(again, "warc-repeated")
+    # a table of checked size spares the shuffle of all payloads
+    if again.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        again = F.broadcast(again)
     joined = rows.join(again, F.col("digest") == F.col("d"), "left")
     # a digest found again belongs to a payload that is large enough: equal digests, equal sizes
     return joined.select("page_id", "url", "payload", "digest", F.expr("case when not (page_id <=> least) then least end").alias("refers_to"))
 
 
-def archive(pages: DataFrame, min_bytes: int = 100, roll: int = 32 << 20) -> DataFrame:
+def archive(pages: DataFrame, min_bytes: int = 100, roll: int = 32 << 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Monolithic archives, one row each: ``gz``."""
 
     def run(batches):
@@ -159,7 +165,7 @@ def archive(pages: DataFrame, min_bytes: int = 100, roll: int = 32 << 20) -> Dat
         if deflater:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join([*out, deflater.flush()])], pa.binary())], names=["gz"])
 
-    return written(decisions(pages, min_bytes).mapInArrow(run, "gz binary"), "warc-monolithic")
+    return written(decisions(pages, min_bytes, broadcast_rows).mapInArrow(run, "gz binary"), "warc-monolithic", "uncompressed")
 
 
 def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
@@ -172,7 +178,7 @@ def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
                 columns = [pa.array([out], pa.binary()), pa.array([[x[0] for x in index]], pa.list_(pa.int64())), pa.array([[x[1] for x in index]], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["gz", "offsets", "lengths"])
 
-    return written(archives.select("gz").mapInArrow(run, "gz binary, offsets array<long>, lengths array<long>"), "warc")
+    return written(archives.select("gz").mapInArrow(run, "gz binary, offsets array<long>, lengths array<long>"), "warc", "uncompressed")
 
 
 def _page(name: str | None) -> int | None:

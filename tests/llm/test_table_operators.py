@@ -206,9 +206,10 @@ PAGES = [
 ]
 
 
-def test_pages_survive_the_archives(spark):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_pages_survive_the_archives(spark, broadcast_rows):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("gz", F.lit(b"z"))
-    monolithic = warc.archive(df, roll=700)
+    monolithic = warc.archive(df, roll=700, broadcast_rows=broadcast_rows)
     normal = warc.normalise(monolithic)
     rows = warc.read(normal).collect()
     assert len(rows) == len(PAGES)
