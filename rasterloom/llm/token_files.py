@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import as_texts, map_batches, written
+from ._base import as_texts, claim_worker, map_batches, worker_table, written
 
 #: Words a worker remembers, and the longest of them: some 200 MB at most.
 CACHE, LONGEST = 1_000_000, 64
@@ -98,6 +98,9 @@ def encoder(file: str, end_id: int) -> Encoder:
     return Encoder(file, end_id)
 
 
+worker_table("token_files", encoder.cache_clear)
+
+
 def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """The file of a shard: header, document index and bit planes, compressed."""
     n = len(ids)
@@ -225,17 +228,39 @@ class Shard:
         return values
 
 
+def _dealt_by_id(rows: DataFrame) -> DataFrame:
+    """Rows in as many ranges of ids as a shuffle has partitions, in order.
+
+    The bounds are approximate quantiles of the ids, from a scan of the id column
+    alone: a range partitioner would read all texts once more to sample them.
+    Bounds only decide how even the ranges are; equal ids stay together.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", at, 10 * parts)).first()[0] or [])) if at else []
+    step = max(1, int(len(bounds) ** 0.5))
+    whole, coarse = F.array(*map(F.lit, bounds)).cast("array<long>"), F.array(*map(F.lit, bounds[step - 1::step])).cast("array<long>")
+    # how many bounds lie below the id: whole steps first, then within one
+    below = lambda bound: bound < F.col("doc_id")
+    steps = F.size(F.filter(coarse, below)) * step
+    place = F.when(F.col("doc_id").isNull(), 0).otherwise(steps + F.size(F.filter(F.slice(whole, steps + 1, step), below)))
+    return rows.repartitionById(len(bounds) + 1, place)
+
+
 SHARD = "part int, shard int, first long, n_docs long, n_tokens long, payload binary"
 
 
-def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 2, shard_tokens: int = 1 << 20, order: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 2, shard_tokens: int = 1 << 19, order: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard files in the order asked for (default: ascending id), one row each."""
-    by = order or [docs[id_col]]
-    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *(c.alias(f"k{i}") for i, c in enumerate(by)))
-    keys = [F.col(f"k{i}").asc_nulls_first() for i in range(len(by))]
-    dealt = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *(c.alias(f"k{i}") for i, c in enumerate(order or ())))
+    if order:
+        keys = [F.col(f"k{i}").asc_nulls_first() for i in range(len(order))]
+        dealt = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    else:
+        dealt = _dealt_by_id(keyed).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def run(batches):
+        claim_worker("token_files")
         model = encoder(tokenizer_file, end_id)
         width = np.dtype(model.dtype).itemsize
         part, shard, first = TaskContext.get().partitionId(), 0, 0
@@ -270,6 +295,7 @@ def read_back(shards: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document in shard files."""
 
     def run(batch: pa.RecordBatch):
+        claim_worker("token_files.read_back")
         for part, first, file in zip(*(batch.column(i).to_pylist() for i in range(3))):
             shard = Shard(file)
             ids = shard.decode().astype("<u4")

@@ -197,6 +197,19 @@ def test_shard_answers_from_its_file():
     assert (token_files.Shard(token_files.build([], [], ids[:0])).decode() == ids[:0]).all()
 
 
+def test_ids_are_dealt_in_ranges(spark):
+    rng = random.Random(9)
+    for ids in ([], [5], [None, 5, 5, 5], [rng.randrange(-50, 10_000) for _ in range(3000)] + [None] * 3 + [7] * 500):
+        rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        for parts in (1, 4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = token_files._dealt_by_id(rows).sortWithinPartitions("doc_id").rdd.glom().collect()
+            flat = [r.doc_id for p in got for r in p]
+            assert flat == sorted(ids, key=lambda x: (x is not None, x or 0))
+            assert len(got) <= parts and (len(ids) < 100 or max(map(len, got)) <= 700 + 3 * len(ids) // parts)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_token_files_round_trip(spark, odd, empty, encoder):
     file = public_tokenizers.path("byte_bpe_50k.json")
     shards = token_files.write_shards(odd, file, shard_tokens=64)
