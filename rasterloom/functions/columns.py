@@ -132,17 +132,6 @@ def chroma_red(r: Column, g: Column, b: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), F.shiftright(32768 * r - 27440 * g - 5328 * b + 32768, 16) + 128))
 
 
-def nearest_colour(pixel: list[Column], palette: list[tuple[int, ...]]) -> Column:
-    """Index of the nearest palette colour, the first of equals.
-
-    The palette has at most 256 entries and is a literal: no join is needed.
-    """
-    table = F.array(*(F.array(*(F.lit(v) for v in c)) for c in palette))
-    squares = lambda c: sum((F.shiftright((p - c[i]) * (p - c[i]), 2) for i, p in enumerate(pixel)), F.lit(0).cast("long"))
-    scored = F.transform(table, lambda c, i: F.struct(squares(c).alias("d"), i.alias("i")))
-    return F.array_min(scored)["i"]
-
-
 def restart_rows(mcu_rows: str, mcus: str, workers: int, least: int = 4, per_worker: int = 2) -> Column:
     """MCU rows of a restart interval, from the names of an image's MCU rows and MCUs a row."""
     n = "1" if workers <= 1 else f"greatest(1, least({workers * per_worker}, {mcu_rows} div {least}))"

@@ -50,12 +50,20 @@ def canonical(lengths, reverse: bool = True) -> np.ndarray:
     """Canonical codes by length, then symbol; bit-reversed for streams that begin with the low bit."""
     lengths = np.asarray(lengths, np.int64)
     codes = np.zeros(len(lengths), np.int64)
-    code = last = 0
-    for s in sorted(np.flatnonzero(lengths), key=lambda s: (lengths[s], s)):
-        code <<= int(lengths[s]) - last
-        last = int(lengths[s])
-        codes[s] = int(f"{code:0{last}b}"[::-1], 2) if reverse else code
-        code += 1
+    used = np.flatnonzero(lengths)
+    if not len(used):
+        return codes
+    order = used[np.argsort(lengths[used], kind="stable")]
+    width = lengths[order]
+    top = int(width.max())
+    taken = np.int64(1) << (top - width)  # of the longest codes, those that begin with a code
+    code = (np.cumsum(taken) - taken) >> (top - width)
+    if reverse:
+        turned = np.zeros_like(code)
+        for bit in range(top):
+            turned |= np.where(bit < width, (code >> bit & 1) << np.maximum(width - 1 - bit, 0), 0)
+        code = turned
+    codes[order] = code
     return codes
 
 

@@ -241,3 +241,23 @@ def histogram(images: DataFrame, period: int = 1) -> DataFrame:
 
     counts = images.select("raw").mapInArrow(run, "alphabet int, symbol int, n long")
     return counts.groupBy("alphabet", "symbol").agg(F.sum("n").alias("n"))
+
+
+def nearest_colours(pixels: DataFrame, channels: list[str], palette: np.ndarray) -> DataFrame:
+    """The rows with ``nearest``: the palette index of each row's 8-bit colour, the first of equals.
+
+    The palette, at most 256 colours of 16-bit channels, goes with the code; no join is needed.
+    """
+    from ..functions.gif import nearest
+
+    at = [pixels.columns.index(c) for c in channels]
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                wide = np.stack([np.asarray(part.column(k)).astype(np.int64) * 257 for k in at], axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nearest(wide, palette).astype(np.int32))], names=[*part.schema.names, "nearest"])
+
+    types = ", ".join(f"`{c}` {t}" for c, t in pixels.dtypes)
+    return pixels.mapInArrow(run, f"{types}, nearest int")

@@ -28,9 +28,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
+    """A small table dealt out to all cores; a large one as it is.
+
+    A table of one row group is one task however many splits it has.  Where Spark
+    knows a table to be under ``bytes_per_core`` a core, dealing it out costs little;
+    larger ones come in splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if known < cores * bytes_per_core else df
+
+
 def text_images(spark: SparkSession, folder: str, row_bytes: int = 64) -> DataFrame:
     """Documents as images of their UTF-8 bytes."""
-    return images.from_text(table(spark, folder, "documents"), row_bytes=row_bytes)
+    return images.from_text(spread(table(spark, folder, "documents").select("doc_id", "text")), row_bytes=row_bytes)
 
 
 #: Bytes ``v`` of the documents at ``i``, rows filled up with zeros to 64.

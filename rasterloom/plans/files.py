@@ -75,7 +75,7 @@ def lz77_tokens(spark, folder):
 
 @Q.add()
 def jpeg_file(spark, folder):
-    return _digest(encode.jpeg_files(images.from_text(table(spark, folder, "documents"), row_bytes=96).filter("height > 0")))
+    return _digest(encode.jpeg_files(text_images(spark, folder, 96).filter("height > 0")))
 
 
 @Q.add()
@@ -137,5 +137,5 @@ def container_sniff(spark, folder):
     """What files are, by their first bytes, and into how many parts they are cut."""
     source = text_images(spark, folder).filter("height > 0")
     made = encode.png_files(source).select("image_id", "file").unionByName(encode.gif_files(source).select("image_id", "file"))
-    made = made.unionByName(encode.jpeg_files(images.from_text(table(spark, folder, "documents"), row_bytes=96).filter("height > 0"), workers=8).select("image_id", "file"))
+    made = made.unionByName(encode.jpeg_files(text_images(spark, folder, 96).filter("height > 0"), workers=8).select("image_id", "file"))
     return encode.sniffed(made).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("most_parts"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.predictors import AVERAGE, PAETH
 from ..operators import bands, images
-from .common import BYTES, PIXELS, Queries, table, text_images
+from .common import BYTES, PIXELS, Queries, spread, table, text_images
 
 Q = Queries()
 
@@ -168,7 +168,7 @@ _ADLER = f"WITH {BYTES}, t AS (SELECT doc_id, count(*) AS n FROM px GROUP BY doc
 @Q.add(_ADLER + """ SELECT doc_id, n::BIGINT AS n, (((n + sum((n - i) * v)) % 65521) * 65536 + (1 + sum(v)) % 65521)::BIGINT AS adler
 FROM px JOIN t USING (doc_id) GROUP BY doc_id, n""")
 def adler32_doc(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     # rows of one byte: nothing is filled up
     bytes_ = images.from_bytes(docs, "doc_id", C.utf8(F.col("text")), 1).filter("height > 0")
     return images.adler(bytes_).withColumnRenamed("image_id", "doc_id")
@@ -178,7 +178,7 @@ def adler32_doc(spark, folder):
 SELECT doc_id, k::INT AS bands, (((n + sum((n - i) * v)) % 65521) * 65536 + (1 + sum(v)) % 65521)::BIGINT AS adler FROM px JOIN c USING (doc_id) GROUP BY doc_id, n, k""")
 def adler32_band_fold(spark, folder):
     """Sums of bands made apart and folded in order: the sum of the whole."""
-    docs = table(spark, folder, "documents").select("doc_id", C.utf8(F.col("text")).alias("raw")).filter("octet_length(raw) > 0")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", C.utf8(F.col("text")).alias("raw")).filter("octet_length(raw) > 0")
     return bands.folded_adler(docs, "doc_id", row_bytes=64, least_rows=4, workers=4, per_worker=2)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..functions import blocks, jpeg
 from ..functions import columns as C
 from ..functions.deflate import LENGTH_EXTRA, LENGTH_SYMBOL, LENGTH_WIDTH
 from ..functions.vp8l import near_codes
-from ..operators import bands, runs
+from ..operators import bands, images, runs
 from .common import Queries, table
 
 Q = Queries()
@@ -325,8 +326,7 @@ d AS (SELECT r, g, b, n, k, (((r * 257 - pr)::BIGINT * (r * 257 - pr)) >> 2) + (
 SELECT r, g, b, n, arg_min(k, d * 1000 + k)::INT AS nearest FROM d GROUP BY r, g, b, n""")
 def nearest_palette(spark, folder):
     counted = _colours(spark, folder).groupBy("r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
-    wide = [(F.col(c).cast("long") * 257) for c in "rgb"] + [F.lit(65535).cast("long")]
-    return counted.select("r", "g", "b", "n", C.nearest_colour(wide, _PALETTE).alias("nearest"))
+    return images.nearest_colours(counted, ["r", "g", "b"], np.array(_PALETTE)[:, :3])
 
 
 _NEAR = sorted(near_codes(64).items())
