@@ -10,9 +10,12 @@ blocks one is shared with probability 0.998 at 0.8 (and more above).
 
 Texts that share a block are joined on it; the Hamming distance of 256-bit
 whole-text fingerprints is verified, and a least spanning forest by that
-distance is emitted with each text's four nearest: at most 5 m edges of m texts,
-never their pairs.  Each edge is then held against the similarity of the two
-sets of shingles.  Texts of the same words are one node throughout.
+distance is emitted with each text's four nearest: at most 5 m edges of m texts.
+Each edge is then held against the similarity of the two sets of shingles.
+Texts with more than four others near them may belong to a pair not yet tried:
+where such texts of one task are still in different groups, their shingle sets
+are brought to the task and joined exactly, so no near pair is left untried.
+Pairs never become rows there.  Texts of the same words are one node throughout.
 
 A block held by more than ``chunk`` texts is not compared all against all.  Its
 texts are first held against eight pivots, a linear number of edges, verified
@@ -111,12 +114,14 @@ def row_keys(docs: DataFrame) -> tuple:
     return F.xxhash64(*every).alias("_row_a"), F.xxhash64(F.lit("b"), *every).alias("_row_b")
 
 
-def least_forest(prints: np.ndarray, far: int, roots: np.ndarray | None = None, nearest: int = 0) -> list[tuple[int, int]]:
+def least_forest(prints: np.ndarray, far: int, roots: np.ndarray | None = None, nearest: int = 0, crowded: list[int] | None = None) -> list[tuple[int, int]]:
     """Edges of a least spanning forest by Hamming distance, none longer than ``far``.
 
     Places of the same root are connected already and get no edge.  Grown from
     one place at a time: what is not yet reached keeps its nearest reached place,
-    so memory is one row of distances.  ``nearest`` adds that many edges a place.
+    so memory is one row of distances.  ``nearest`` adds that many edges a place;
+    places with more than these within ``far`` are appended to ``crowded``.  A pair
+    within ``far`` that has no edge lies between two of them.
     """
     n = len(prints)
     roots = np.arange(n) if roots is None else roots
@@ -143,6 +148,8 @@ def least_forest(prints: np.ndarray, far: int, roots: np.ndarray | None = None,
         for node in range(n):
             d = to(node, every)
             d[d < 0] = far + 1
+            if crowded is not None and np.count_nonzero(d <= far) > nearest:
+                crowded.append(node)
             for k in np.argpartition(d, nearest - 1)[:nearest] if n > nearest else every:
                 if d[k] <= far:
                     edges.append((min(node, int(k)), max(node, int(k))))
@@ -152,6 +159,49 @@ def least_forest(prints: np.ndarray, far: int, roots: np.ndarray | None = None,
 PIVOTS = 8
 
 
+def exact_links(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of that similarity that join all places which have it, directly or by others.
+
+    Two sets of similarity s share one of the rarest (1 - s) n + 1 members of each,
+    by any one order of all members: only places that meet there are compared.
+    """
+    n, roots = len(sets), roots.copy()
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    _, members, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((members, counts[members], owner))
+    rank = np.arange(len(order)) - np.repeat(ends - sizes, sizes)
+    rare = order[(rank <= (sizes - np.ceil(similarity * sizes - 1e-9))[owner]) & (counts[members[order]] > 1)]
+    rare = rare[np.argsort(members[rare], kind="stable")]
+    keys, holders = members[rare], owner[rare]
+    first, last = np.searchsorted(keys, keys), np.searchsorted(keys, keys, "right")
+    by_owner = np.argsort(holders, kind="stable")
+    bounds = np.searchsorted(holders[by_owner], np.arange(n + 1))
+    own = np.zeros(len(counts), np.bool_)
+    out = []
+    for a in range(n):
+        met = [holders[first[k]:last[k]] for k in by_owner[bounds[a]:bounds[a + 1]]]
+        if not met:
+            continue
+        others = np.unique(np.concatenate(met))
+        others = others[(others > a) & (roots[others] != roots[a])]
+        others = others[np.minimum(sizes[others], sizes[a]) >= similarity * np.maximum(sizes[others], sizes[a]) - 1e-9]
+        if not len(others):
+            continue
+        mine = members[ends[a] - sizes[a]:ends[a]]
+        own[mine] = True
+        for b in others.tolist():
+            if roots[a] == roots[b]:
+                continue
+            common = np.count_nonzero(own[members[ends[b] - sizes[b]:ends[b]]])
+            if common >= similarity * (sizes[a] + sizes[b] - common) - 1e-9:
+                out.append((a, b))
+                roots[roots == roots[b]] = roots[a]
+        own[mine] = False
+    return out
+
+
 def shared_blocks(nodes: DataFrame) -> DataFrame:
     """``(choice, bits, node, print, n)`` of blocks that n > 1 nodes hold."""
     keyed = nodes.select("node", "print", F.posexplode("blocks").alias("choice", "bits")).filter("bits is not null")
@@ -191,9 +241,17 @@ def dealt_hot(hot: DataFrame, roots: DataFrame, chunk: int) -> DataFrame:
     return dealt.select("choice", "bits", "pair.i", "pair.j", "node", "print", "root")
 
 
+TASK = ["choice", "bits", "i", "j"]
+
+
 def candidates(dealt: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` over nodes dealt to the same task, near by their fingerprints."""
-    near = dealt.repartition("choice", "bits", "i", "j").sortWithinPartitions("choice", "bits", "i", "j")
+    """Edges ``(u, v)`` over nodes dealt to the same task, near by their fingerprints.
+
+    Rows without a ``v`` are the crowded nodes of a task, with its ``TASK`` columns.
+    """
+    near = dealt.repartition(*TASK).sortWithinPartitions(*TASK)
+    types = dict(near.dtypes)
+    schema = pa.schema([("u", pa.string()), ("v", pa.string()), *((c, pa.int64() if types[c] == "bigint" else pa.int32()) for c in TASK)])
 
     def verify(batches):
         claim_worker("similar")
@@ -203,8 +261,13 @@ def candidates(dealt: DataFrame) -> DataFrame:
             if len(names) < 2:
                 return []
             _, group = np.unique(np.array(roots), return_inverse=True)
-            edges = set(least_forest(np.array(prints, np.int64).view(np.uint64), FAR, group, NEAREST))
-            return [(names[a], names[b]) for a, b in edges]
+            crowded = []
+            edges = set(least_forest(np.array(prints, np.int64).view(np.uint64), FAR, group, NEAREST, crowded))
+            rows = [(max(names[a], names[b]), min(names[a], names[b]), None, None, None, None) for a, b in edges]
+            return rows + [(names[k], None, *at) for k in crowded]
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
         for batch in batches:
             out = []
@@ -216,43 +279,90 @@ def candidates(dealt: DataFrame) -> DataFrame:
                 names.append(name)
                 prints.append(words)
                 roots.append(root)
+            if out:
+                yield table(out)
+        if last := done():
+            yield table(last)
+
+    return near.mapInArrow(verify, "u string, v string, " + ", ".join(f"{c} {types[c]}" for c in TASK))
+
+
+def rest(crowded: DataFrame, roots: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Edges ``(u, v)`` between crowded nodes of a task that differ in root, by an exact join of their shingles."""
+    rooted = crowded.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(*TASK, "node", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy(*TASK).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(*TASK)
+    open_nodes = written(rooted.join(split, TASK), "crowded")
+    table = shingle_table(open_nodes.select("node").distinct(), docs, own, text_col, width)
+    rows = open_nodes.join(table, "node").select(*TASK, "node", "root", "shingles").repartition(*TASK).sortWithinPartitions(*TASK)
+
+    def join(batches):
+        claim_worker("similar")
+        at, names, roots, sets = None, [], [], []
+
+        def done():
+            if len(names) < 2:
+                return []
+            _, group = np.unique(np.array(roots), return_inverse=True)
+            return [(max(names[a], names[b]), min(names[a], names[b])) for a, b in exact_links(sets, group, similarity)]
+
+        for batch in batches:
+            out = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            for key, name, root, raw in zip(keys, *(batch.column(i).to_pylist() for i in (4, 5, 6))):
+                if key != at:
+                    out += done()
+                    at, names, roots, sets = key, [], [], []
+                names.append(name)
+                roots.append(root)
+                sets.append(np.frombuffer(raw, np.uint32))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["u", "v"])
         if last := done():
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*last)], names=["u", "v"])
 
-    found = near.mapInArrow(verify, "u string, v string")
-    return found.select(*_edge("u", "v")).distinct()
+    return rows.mapInArrow(join, "u string, v string").distinct()
 
 
 def links(nodes: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float, chunk: int) -> DataFrame:
     """Verified edges that connect all nodes found near each other."""
     shared = shared_blocks(nodes)
     small, hot = shared.filter(F.col("n") <= chunk), shared.filter(F.col("n") > chunk)
-    if not hot.limit(1).count():
-        return verified(written(candidates(dealt_small(small)), "candidates"), docs, own, text_col, width, similarity)
-    first = written(verified(written(pivot_edges(hot), "pivots"), docs, own, text_col, width, similarity), "pivot-links")
-    dealt = dealt_small(small).unionByName(dealt_hot(hot, components(first), chunk))
-    return first.unionByName(verified(written(candidates(dealt), "candidates"), docs, own, text_col, width, similarity))
-
-
-def verified(edges: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The edges whose texts have at least that share of distinct shingles in common.
+    dealt, first = dealt_small(small), None
+    if hot.limit(1).count():
+        first = written(verified(written(pivot_edges(hot), "pivots"), docs, own, text_col, width, similarity), "pivot-links")
+        dealt = dealt.unionByName(dealt_hot(hot, components(first), chunk))
+    found = written(candidates(dealt), "candidates")
+    linked = verified(found.filter("v is not null").select("u", "v").distinct(), docs, own, text_col, width, similarity)
+    linked = linked if first is None else first.unionByName(linked)
+    crowded = found.filter("v is null").select(F.col("u").alias("node"), *TASK)
+    if not crowded.limit(1).count():
+        return linked
+    roots = written(components(linked), "links")
+    more = rest(crowded, roots, docs, own, text_col, width, similarity)
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+
+
+def shingle_table(ends: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``(node, shingles)`` of the nodes in ``ends``.
 
     Shingles are told apart by 32 bits of their hashes, which moves a share by less
     than one shingle in any text of fewer than some ten thousand words.
     """
-    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
     def sets(batches):
         for batch in batches:
             found = [np.unique(shingle_set(raw.lower().split(), width).astype(np.uint32)).tobytes() for raw in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    # one row of each node that has an edge, fetched by the hash of that row: copies do not meet
+    # one row of each node in question, fetched by the hash of that row: copies do not meet
     rows = own.join(ends, "node").select("node", "first._row_a", "first._row_b")
     texts = docs.select(docs[text_col].cast("string").alias("t"), *row_keys(docs)).join(rows, ["_row_a", "_row_b"]).select("node", "t")
-    table = written(texts.mapInArrow(sets, "node string, shingles binary"), "shingles").dropDuplicates(["node"])
+    return written(texts.mapInArrow(sets, "node string, shingles binary"), "shingles").dropDuplicates(["node"])
+
+
+def verified(edges: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The edges whose texts have at least that share of distinct shingles in common."""
+    table = shingle_table(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, own, text_col, width)
     pairs = edges.join(table.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(table.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
 
     def check(batches):

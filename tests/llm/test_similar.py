@@ -101,3 +101,22 @@ def test_block_recall_at_the_threshold():
         x, y = similar.block_prints(a, 12, 4), similar.block_prints(b, 12, 4)
         found += any(p is not None and p == q for p, q in zip(x, y))
     assert found >= 392  # of pairs of similarity 0.8
+
+
+@pytest.mark.parametrize("chunk", [1024, 60])
+def test_pairs_among_many_texts_just_below_the_threshold(spark, chunk):
+    base = [f"b{i}" for i in range(499)]
+    rows = []
+    for k in range(260):  # a template, of which each text fills in 60 words in a row of its own
+        text = list(base)
+        text[200:260] = [f"t{k}x{i}" for i in range(60)]
+        rows.append((k, " ".join(text), "x", None))
+    for k in range(0, 260, 13):  # a few have a copy that fills in fifteen of the words alike
+        text = rows[k][1].split()
+        text[215:260] = [f"u{k}x{i}" for i in range(45)]
+        rows.append((1000 + k, " ".join(text), "x", None))
+    sets = [shingles(t) for _, t, *_ in rows]
+    near = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert near == 20 and len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.77
+    kept = similar.representatives(spark.createDataFrame(rows, SCHEMA), chunk=chunk)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == expected(rows)
