@@ -44,6 +44,7 @@ from ._components import components
 
 WORDS = 4  # 64-bit words of a whole-text fingerprint
 FAR = 58  # bits: a pair of similarity 0.8 lies at 39, seldom over 6 away, and thrice that once in thousands
+FEW = 32  # shingles: the distances of shorter texts spread too wide for that cut, they are not cut by it
 NEAREST = 4
 _STEP = 1 << 14
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -87,23 +88,24 @@ def block_prints(hashes: np.ndarray, blocks: int, sample: int) -> list[int | Non
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, blocks: int, sample: int, more: tuple) -> DataFrame:
-    """``(doc_id, node, blocks, print)`` and the columns in ``more``, one row per input row."""
+    """``(doc_id, node, blocks, print, few)`` and the columns in ``more``, one row per input row."""
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col], *more)
-    names = ["doc_id", "node", "blocks", "print", *source.columns[2:]]
-    types = dict(source.dtypes) | {"node": "string", "blocks": "array<long>", "print": "array<long>"}
+    names = ["doc_id", "node", "blocks", "print", "few", *source.columns[2:]]
+    types = dict(source.dtypes) | {"node": "string", "blocks": "array<long>", "print": "array<long>", "few": "boolean"}
 
     def run(batches):
         claim_worker("similar")
         for batch in batches:
-            nodes, keys, prints = [], [], []
+            nodes, keys, prints, few = [], [], [], []
             for raw in as_bytes(batch.column(1)):
                 words = raw.lower().split()
                 hashes = shingle_set(words, width)
                 nodes.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                 keys.append(block_prints(hashes, blocks, sample))
                 prints.append(whole_print(hashes).view(np.int64))
+                few.append(len(hashes) < FEW)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(keys, longs), pa.array(prints, longs), *batch.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(keys, longs), pa.array(prints, longs), pa.array(few, pa.bool_()), *batch.columns[2:]], names=names)
 
     return source.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
 
@@ -114,20 +116,23 @@ def row_keys(docs: DataFrame) -> tuple:
     return F.xxhash64(*every).alias("_row_a"), F.xxhash64(F.lit("b"), *every).alias("_row_b")
 
 
-def least_forest(prints: np.ndarray, far: int, roots: np.ndarray | None = None, nearest: int = 0, crowded: list[int] | None = None) -> list[tuple[int, int]]:
+def least_forest(prints: np.ndarray, far: int, roots: np.ndarray | None = None, nearest: int = 0, crowded: list[int] | None = None, few: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a least spanning forest by Hamming distance, none longer than ``far``.
 
     Places of the same root are connected already and get no edge.  Grown from
     one place at a time: what is not yet reached keeps its nearest reached place,
     so memory is one row of distances.  ``nearest`` adds that many edges a place;
     places with more than these within ``far`` are appended to ``crowded``.  A pair
-    within ``far`` that has no edge lies between two of them.
+    within ``far`` that has no edge lies between two of them.  Places that are
+    ``few`` are within ``far`` of all others.
     """
     n = len(prints)
     roots = np.arange(n) if roots is None else roots
+    few = np.zeros(n, np.bool_) if few is None else few
 
     def to(node: int, places: np.ndarray) -> np.ndarray:
         d = np.bitwise_count(prints[places] ^ prints[node]).sum(axis=1, dtype=np.int64)
+        d[(d > far) & (few[places] | few[node])] = far
         return np.where(roots[places] == roots[node], -1, d)
 
     left = np.arange(1, n)
@@ -203,8 +208,8 @@ def exact_links(sets: list[np.ndarray], roots: np.ndarray, similarity: float) ->
 
 
 def shared_blocks(nodes: DataFrame) -> DataFrame:
-    """``(choice, bits, node, print, n)`` of blocks that n > 1 nodes hold."""
-    keyed = nodes.select("node", "print", F.posexplode("blocks").alias("choice", "bits")).filter("bits is not null")
+    """``(choice, bits, node, print, few, n)`` of blocks that n > 1 nodes hold."""
+    keyed = nodes.select("node", "print", "few", F.posexplode("blocks").alias("choice", "bits")).filter("bits is not null")
     sizes = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return keyed.join(sizes, ["choice", "bits"])
 
@@ -216,20 +221,20 @@ def _edge(a: str, b: str) -> list:
 def pivot_edges(hot: DataFrame) -> DataFrame:
     """Edges ``(u, v)`` from the texts of each block to its pivots, near by their fingerprints."""
     slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-    chosen = hot.groupBy("choice", "bits", slot.alias("slot")).agg(F.min_by(F.struct("node", "print"), F.xxhash64("node", F.lit(1))).alias("pivot"))
+    chosen = hot.groupBy("choice", "bits", slot.alias("slot")).agg(F.min_by(F.struct("node", "print", "few"), F.xxhash64("node", F.lit(1))).alias("pivot"))
     pairs = hot.join(chosen.select("choice", "bits", "pivot"), ["choice", "bits"]).filter("node != pivot.node")
     apart = sum((F.bit_count(F.col("print")[i].bitwiseXOR(F.col("pivot.print")[i])) for i in range(WORDS)), F.lit(0))
-    return pairs.filter(apart <= FAR).select(*_edge("node", "pivot.node")).distinct()
+    return pairs.filter((apart <= FAR) | F.col("few") | F.col("pivot.few")).select(*_edge("node", "pivot.node")).distinct()
 
 
 def dealt_small(shared: DataFrame) -> DataFrame:
-    """A block a task: ``(choice, bits, i, j, node, print, root)``, every node its own root."""
-    return shared.select("choice", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "print", F.col("node").alias("root"))
+    """A block a task: ``(choice, bits, i, j, node, print, root, few)``, every node its own root."""
+    return shared.select("choice", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "print", F.col("node").alias("root"), "few")
 
 
 def dealt_hot(hot: DataFrame, roots: DataFrame, chunk: int) -> DataFrame:
     """Chunks of the texts outside each block's largest group, with chunks of all its texts."""
-    rooted = hot.drop("n").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("choice", "bits", "node", "print", F.coalesce("root", "node").alias("root"))
+    rooted = hot.drop("n").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("choice", "bits", "node", "print", F.coalesce("root", "node").alias("root"), "few")
     counted = rooted.groupBy("choice", "bits", "root").agg(F.count(F.lit(1)).alias("k"))
     blocks = counted.groupBy("choice", "bits").agg(F.max_by("root", "k").alias("top"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
     parts = lambda c: F.ceil(F.col(c) / F.lit(chunk)).cast("int")
@@ -237,8 +242,8 @@ def dealt_hot(hot: DataFrame, roots: DataFrame, chunk: int) -> DataFrame:
     rows = rows.withColumns({"ci": F.expr("cast(pmod(xxhash64(node), gi) as int)"), "cj": F.expr("cast(pmod(xxhash64(node), gj) as int)")})
     own = F.expr("if(root != top, transform(sequence(0, gj - 1), j -> struct(ci as i, j as j)), array())")
     whole = F.expr("transform(sequence(0, gi - 1), i -> struct(i as i, cj as j))")
-    dealt = rows.select("choice", "bits", "node", "print", "root", F.explode(F.array_distinct(F.concat(own, whole))).alias("pair"))
-    return dealt.select("choice", "bits", "pair.i", "pair.j", "node", "print", "root")
+    dealt = rows.select("choice", "bits", "node", "print", "root", "few", F.explode(F.array_distinct(F.concat(own, whole))).alias("pair"))
+    return dealt.select("choice", "bits", "pair.i", "pair.j", "node", "print", "root", "few")
 
 
 TASK = ["choice", "bits", "i", "j"]
@@ -255,14 +260,14 @@ def candidates(dealt: DataFrame) -> DataFrame:
 
     def verify(batches):
         claim_worker("similar")
-        at, names, prints, roots = None, [], [], []
+        at, names, prints, roots, few = None, [], [], [], []
 
         def done():
             if len(names) < 2:
                 return []
             _, group = np.unique(np.array(roots), return_inverse=True)
             crowded = []
-            edges = set(least_forest(np.array(prints, np.int64).view(np.uint64), FAR, group, NEAREST, crowded))
+            edges = set(least_forest(np.array(prints, np.int64).view(np.uint64), FAR, group, NEAREST, crowded, np.array(few)))
             rows = [(max(names[a], names[b]), min(names[a], names[b]), None, None, None, None) for a, b in edges]
             return rows + [(names[k], None, *at) for k in crowded]
 
@@ -272,13 +277,14 @@ def candidates(dealt: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
-            for key, name, words, root in zip(keys, *(batch.column(i).to_pylist() for i in (4, 5, 6))):
+            for key, name, words, root, short in zip(keys, *(batch.column(i).to_pylist() for i in (4, 5, 6, 7))):
                 if key != at:
                     out += done()
-                    at, names, prints, roots = key, [], [], []
+                    at, names, prints, roots, few = key, [], [], [], []
                 names.append(name)
                 prints.append(words)
                 roots.append(root)
+                few.append(short)
             if out:
                 yield table(out)
         if last := done():
@@ -382,7 +388,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, one of each group of near duplicates, all columns kept."""
     keys = row_keys(docs)
     found = written(sketches(docs, id_col, text_col, width, blocks, sample, keys), "sketches")
-    nodes = found.select("node", "blocks", "print").dropDuplicates(["node"])
+    nodes = found.select("node", "blocks", "print", "few").dropDuplicates(["node"])
     # the least row of each node: copies are one row from here on
     own = written(found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_a", "_row_b")).alias("first")), "nodes")
     roots = components(links(nodes, docs, own, text_col, width, similarity, chunk)).withColumnRenamed("node", "n")

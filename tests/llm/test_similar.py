@@ -120,3 +120,17 @@ def test_pairs_among_many_texts_just_below_the_threshold(spark, chunk):
     assert near == 20 and len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.77
     kept = similar.representatives(spark.createDataFrame(rows, SCHEMA), chunk=chunk)
     assert sorted(str(r.doc_id) for r in kept.collect()) == expected(rows)
+
+
+@pytest.mark.parametrize("chunk", [1024, 1])
+def test_short_texts_are_not_cut_by_distance(spark, chunk):
+    rows = []
+    for k in range(4000):  # four of five shingles shared: some of these pairs lie over FAR bits apart
+        words = [f"s{k}x{i}" for i in range(9)]
+        a, b = (similar.shingle_set([w.encode() for w in x], 5) for x in (words[:8], words))
+        if np.bitwise_count(similar.whole_print(a) ^ similar.whole_print(b)).sum() > similar.FAR:
+            rows += [(2 * k, " ".join(words[:8]), "x", None), (2 * k + 1, " ".join(words), "x", None)]
+    assert len(rows) > 40
+    kept = similar.representatives(spark.createDataFrame(rows, SCHEMA), chunk=chunk)
+    share = [any(p is not None and p == q for p, q in zip(*(similar.block_prints(similar.shingle_set(t.encode().split(), 5), 12, 4) for t in (x[1], y[1])))) for x, y in zip(rows[::2], rows[1::2])]
+    assert kept.count() == len(rows) - sum(share) and sum(share) > 20
