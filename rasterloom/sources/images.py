@@ -21,11 +21,14 @@ def checked(found: DataFrame, sums: DataFrame) -> DataFrame:
 
 
 def decoded(spark: SparkSession, path: str) -> DataFrame:
-    """Images ``(image_id, height, width, channels, row_bytes, raw)`` by Spark's reader; blue comes first."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    return rows.select(
-        F.col("origin").alias("image_id"), "height", "width", F.col("nChannels").alias("channels"), (F.col("width") * F.col("nChannels")).alias("row_bytes"), F.col("data").alias("raw")
-    )
+    """Images ``(image_id, height, width, channels, row_bytes, raw, error)`` by Spark's reader; blue comes first.
+
+    A file that cannot be decoded is a row of nulls with its ``error``.
+    """
+    rows = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    good = F.col("height") >= 0
+    values = {"height": F.col("height"), "width": F.col("width"), "channels": F.col("nChannels"), "row_bytes": F.col("width") * F.col("nChannels"), "raw": F.col("data")}
+    return rows.select(F.col("origin").alias("image_id"), *(F.when(good, v).alias(c) for c, v in values.items()), F.when(~good, "cannot be decoded").alias("error"))
 
 
 def inferred(images: DataFrame) -> DataFrame:

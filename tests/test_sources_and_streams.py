@@ -110,3 +110,10 @@ def test_halo_and_whole_images_agree(spark, tiny):
     a = images.row_filters(whole).collect()
     b = images.row_filters_halo(images.scanlines(whole)).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_images_that_cannot_be_decoded_are_rows(spark, tmp_path):
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    (row,) = sources.decoded(spark, str(tmp_path)).collect()
+    assert row.image_id.endswith("broken.png") and row.error == "cannot be decoded"
+    assert row.height is None and row.row_bytes is None and row.raw is None
