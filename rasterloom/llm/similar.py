@@ -16,12 +16,16 @@ Texts with more than four others near them may belong to a pair not yet tried:
 where such texts of one task are still in different groups, their shingle sets
 are brought to the task and joined exactly, so no near pair is left untried.
 Pairs never become rows there.  Texts of the same words are one node throughout.
+So every pair that shares a block and lies within ``FAR`` bits is either held
+against the threshold or lies in one group already: what can be lost is only a
+pair that shares no block or lies farther apart, not one that has many neighbours.
 
 A block held by more than ``chunk`` texts is not compared all against all.  Its
 texts are first held against eight pivots, a linear number of edges, verified
 at once; what they link is connected already.  Only texts outside the block's
 largest group so far are then compared with the others, in tasks of two chunks
-at most.  A large group of near copies thus costs a few times its size.
+at most.  A large group of near copies thus costs a few times its size.  The
+groups found do not depend on ``chunk``: both ways leave no such pair untried.
 
 Defined results: a null or empty text, or one of blanks, has no words; all of
 those are copies of each other.  Of a group the row of least id stays (null ids
@@ -111,11 +115,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, blocks: in
 
 
 def row_keys(docs: DataFrame) -> tuple:
-    """Two hashes of all columns, by which a row is found again."""
-    every = [docs[c] for c in docs.columns]
+    """Two hashes of all columns, by which a row is found again: ``_row_a`` and ``_row_b``."""
+    columns = [(docs[f"`{c}`"], t) for c, t in docs.dtypes]
+    every = [F.to_json(F.struct(c)) if "map<" in t else c for c, t in columns]
     return F.xxhash64(*every).alias("_row_a"), F.xxhash64(F.lit("b"), *every).alias("_row_b")
 
 
+def bounded(rows: DataFrame, limit: int = 1 << 18) -> DataFrame:
+    """A narrow table to be joined: broadcast if it is counted to be small, else left to a shuffle."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
 def least_forest(prints: np.ndarray, far: int, roots: np.ndarray | None = None, nearest: int = 0, crowded: list[int] | None = None, few: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a least spanning forest by Hamming distance, none longer than ``far``.
 
@@ -320,7 +330,7 @@ def rest(crowded: DataFrame, roots: DataFrame, docs: DataFrame, own: DataFrame,
                     at, names, roots, sets = key, [], [], []
                 names.append(name)
                 roots.append(root)
-                sets.append(np.frombuffer(raw, np.uint32))
+                sets.append(np.frombuffer(raw, np.uint64))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["u", "v"])
         if last := done():
@@ -349,19 +359,15 @@ def links(nodes: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, widt
 
 
 def shingle_table(ends: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int) -> DataFrame:
-    """``(node, shingles)`` of the nodes in ``ends``.
-
-    Shingles are told apart by 32 bits of their hashes, which moves a share by less
-    than one shingle in any text of fewer than some ten thousand words.
-    """
+    """``(node, shingles)`` of the nodes in ``ends``: ascending 64-bit hashes."""
 
     def sets(batches):
         for batch in batches:
-            found = [np.unique(shingle_set(raw.lower().split(), width).astype(np.uint32)).tobytes() for raw in as_bytes(batch.column(1))]
+            found = [shingle_set(raw.lower().split(), width).tobytes() for raw in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
     # one row of each node in question, fetched by the hash of that row: copies do not meet
-    rows = own.join(ends, "node").select("node", "first._row_a", "first._row_b")
+    rows = bounded(written(own.join(ends, "node").select("node", "first._row_a", "first._row_b"), "ends"))
     texts = docs.select(docs[text_col].cast("string").alias("t"), *row_keys(docs)).join(rows, ["_row_a", "_row_b"]).select("node", "t")
     return written(texts.mapInArrow(sets, "node string, shingles binary"), "shingles").dropDuplicates(["node"])
 
@@ -375,7 +381,7 @@ def verified(edges: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, w
         for batch in batches:
             kept = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 kept.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
             mask = pa.array(kept, pa.bool_())
@@ -384,7 +390,7 @@ def verified(edges: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, w
     return pairs.mapInArrow(check, "u string, v string")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, blocks: int = 12, sample: int = 4, chunk: int = 1024) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, blocks: int = 12, sample: int = 4, chunk: int = 256) -> DataFrame:
     """The rows of ``docs``, one of each group of near duplicates, all columns kept."""
     keys = row_keys(docs)
     found = written(sketches(docs, id_col, text_col, width, blocks, sample, keys), "sketches")
@@ -393,7 +399,24 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = written(found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_a", "_row_b")).alias("first")), "nodes")
     roots = components(links(nodes, docs, own, text_col, width, similarity, chunk)).withColumnRenamed("node", "n")
     winners = own.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
-    kept = docs.select(*(docs[c] for c in docs.columns), *keys).join(winners.select("first._row_a", "first._row_b"), ["_row_a", "_row_b"], "left_semi")
-    if found.groupBy("_row_a", "_row_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_row_a", "_row_b"])
-    return kept.select(*docs.columns)
+    every = found.groupBy("_row_a", "_row_b").agg(F.count(F.lit(1)).alias("copies"))
+    first = winners.select(F.col("first._row_a").alias("wa"), F.col("first._row_b").alias("wb"))
+    marked = every.join(first, (F.col("_row_a") == F.col("wa")) & (F.col("_row_b") == F.col("wb")), "left")
+    # what goes is a smaller table than what stays; rows equal in all columns are one of these two
+    marked = written(marked.select(F.col("_row_a").alias("ra"), F.col("_row_b").alias("rb"), "copies", F.col("wa").isNotNull().alias("stays")), "marked")
+    a, b = (k.alias(_free(docs, n)) for k, n in zip(keys, ("_row_a", "_row_b")))
+    names = [_free(docs, n) for n in ("_row_a", "_row_b")]
+    rows = docs.select("*", a, b)
+    meets = (F.col(names[0]) == F.col("ra")) & (F.col(names[1]) == F.col("rb"))
+    alone = rows.join(bounded(marked.filter("not stays or copies > 1").select("ra", "rb")), meets, "left_anti")
+    again = bounded(marked.filter("stays and copies > 1").select("ra", "rb"))
+    if again.limit(1).count():
+        alone = alone.unionByName(rows.join(again, meets, "left_semi").dropDuplicates(names))
+    return alone.select(*(alone[f"`{c}`"] for c in docs.columns))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name

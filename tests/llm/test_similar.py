@@ -134,3 +134,31 @@ def test_short_texts_are_not_cut_by_distance(spark, chunk):
     kept = similar.representatives(spark.createDataFrame(rows, SCHEMA), chunk=chunk)
     share = [any(p is not None and p == q for p, q in zip(*(similar.block_prints(similar.shingle_set(t.encode().split(), 5), 12, 4) for t in (x[1], y[1])))) for x, y in zip(rows[::2], rows[1::2])]
     assert kept.count() == len(rows) - sum(share) and sum(share) > 20
+
+
+@pytest.mark.parametrize("share, chunk", [(0.92, 64), (0.93, 1024)])
+def test_families_that_straddle_the_threshold(spark, share, chunk):
+    """300 texts of some 200 words that keep each stretch of a common text with this probability."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(300):
+        words = [f"{'b' if rng.random() < share else k}w{i}n{j}" for i in range(40) for j in range(5)]
+        rows.append((k, " ".join(words), "x", None))
+    sets = [shingles(t) for _, t, *_ in rows]
+    near = [(i, j) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    # recall of the proposals: pairs that share a block and lie within the radius
+    prints = [[similar.block_prints(h, 12, 4), similar.whole_print(h)] for h in (similar.shingle_set([w.encode() for w in t.split()], 5) for _, t, *_ in rows)]
+    met = sum(any(p is not None and p == q for p, q in zip(prints[i][0], prints[j][0])) and np.bitwise_count(prints[i][1] ^ prints[j][1]).sum() <= similar.FAR for i, j in near)
+    assert len(near) > 500 and met >= 0.99 * len(near)
+    want = expected(rows)
+    assert 2 < len(want) < 280
+    kept = similar.representatives(spark.createDataFrame(rows, SCHEMA), chunk=chunk)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
+def test_columns_of_any_name_and_type_are_kept(spark):
+    rows = [(1, "a b c d e f g", 5, {"k": 1}, 0.5), (2, "a b c d e f g", 6, {"k": 2}, 0.5), (3, "h i j k l m n", 7, {}, None), (3, "h i j k l m n", 7, {}, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_a int, `shingles.x` map<string,int>, ra double")
+    kept = similar.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._row_a) for r in kept.collect()) == [(1, 5), (3, 7)]
