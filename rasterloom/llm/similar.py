@@ -404,15 +404,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = every.join(first, (F.col("_row_a") == F.col("wa")) & (F.col("_row_b") == F.col("wb")), "left")
     # what goes is a smaller table than what stays; rows equal in all columns are one of these two
     marked = written(marked.select(F.col("_row_a").alias("ra"), F.col("_row_b").alias("rb"), "copies", F.col("wa").isNotNull().alias("stays")), "marked")
-    a, b = (k.alias(_free(docs, n)) for k, n in zip(keys, ("_row_a", "_row_b")))
     names = [_free(docs, n) for n in ("_row_a", "_row_b")]
-    rows = docs.select("*", a, b)
-    meets = (F.col(names[0]) == F.col("ra")) & (F.col(names[1]) == F.col("rb"))
-    alone = rows.join(bounded(marked.filter("not stays or copies > 1").select("ra", "rb")), meets, "left_anti")
-    again = bounded(marked.filter("stays and copies > 1").select("ra", "rb"))
+    rows = docs.select("*", *(k.alias(n) for k, n in zip(keys, names)))
+    chosen = lambda which: bounded(marked.filter(which).select(F.col("ra").alias(names[0]), F.col("rb").alias(names[1])))
+    alone = rows.join(chosen("not stays or copies > 1"), names, "left_anti")
+    again = chosen("stays and copies > 1")
     if again.limit(1).count():
-        alone = alone.unionByName(rows.join(again, meets, "left_semi").dropDuplicates(names))
-    return alone.select(*(alone[f"`{c}`"] for c in docs.columns))
+        alone = alone.unionByName(rows.join(again, names, "left_semi").dropDuplicates(names))
+    return alone.drop(*names)
 
 
 def _free(docs: DataFrame, name: str) -> str:

@@ -7,22 +7,25 @@ the encoding of a text is the encodings of its parts, in order.
 For every distinct part a table holds the token count of each of its prefixes:
 the last piece of the encoding of ``part[:i]`` is the piece ending at ``i``
 that the encoding of what is before it bears, so each prefix takes one step
-from a shorter one.  The table's last entry is held against the library's own
-encoding of the part; should they ever differ, the part's prefixes are encoded
-one by one instead.  Counts of a text's prefixes are sums over parts, so "how
-many tokens has this prefix" and "how much fits into this budget" are answered
-from the tables without encoding again.
+from a shorter one.  Counts of a text's prefixes are sums over parts, so "how
+many tokens has this text", "how many has this prefix" and "how much fits into
+this budget" are all read from the tables, without encoding again.  A part for
+which the steps find no encoding is the only thing the library is asked for:
+its prefixes are encoded one by one, and ``n_by_library`` counts such parts.
 
 Defined results: a null or empty text has no tokens; rows are handled one by
 one, so repeated rows repeat and empty tables stay empty; other columns are
-not read.  The tables of a worker are bounded by ``CACHE`` parts.
+not read.  The tables of a worker are bounded by ``CACHE`` parts; those not met
+for longest are dropped first.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from itertools import accumulate
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -39,6 +42,25 @@ _FINE = re.compile(f"\n|{MARK}+[^{_L}{MARK}\n]*[{_L}]*|[^{_L}{MARK}\n]+[{_L}]*|[
 _COARSE = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
+class _Tables(dict):
+    """Tables of parts, made when first met; of two halves the older one is dropped when the younger is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, part: str):
+        got = self.older.pop(part, None)
+        if got is None:
+            got = self.make(part)
+        if len(part) <= LONGEST:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
+                self.clear()
+            self[part] = got
+        return got
+
+
 class PrefixCounter:
     """Prefix token counts for one sentencepiece BPE model."""
 
@@ -63,7 +85,8 @@ class PrefixCounter:
             if len(p) == 1 or self._merged(p) == [p]:
                 self.whole.add_word(p, p)
         self.whole.make_automaton()
-        self.totals: dict[str, int] = {}
+        self.tables = _Tables(self._made)
+        self.asked = 0  # parts the library was asked for
         self.joins: dict[tuple[str, str], bool] = {}
 
     def _merged(self, part: str) -> list[str]:
@@ -89,10 +112,17 @@ class PrefixCounter:
     def _cost(self, piece: str) -> int:
         return 1 if piece in self.rank else len(piece.encode())
 
-    def table(self, part: str) -> list[int]:
+    def table(self, part: str):
         """Token counts of ``part[:0]``, ``part[:1]`` and so on."""
+        return self.tables[part]
+
+    def _made(self, part: str):
+        """The table as bytes or, where counts are larger, an array; a tuple where the library was asked."""
         counts = self._steps(part)
-        return counts if counts and counts[-1] == self._library([part])[0] else self._by_library(part)
+        if counts is None:
+            self.asked += 1
+            return tuple(self._by_library(part))
+        return bytes(counts) if counts[-1] < 256 and max(counts) < 256 else array("q", counts)
 
     def _steps(self, part: str) -> list[int] | None:
         n = len(part)
@@ -152,31 +182,20 @@ class PrefixCounter:
         fits = np.flatnonzero(self.prefix_counts(text) <= budget)
         return text[:int(fits[-1])] if len(fits) else ""
 
-    def _total(self, part: str, by_library: int) -> int:
-        counts = self._steps(part)
-        return counts[-1] if counts and counts[-1] == by_library else by_library
-
-    def count_and_fit(self, text: str, budget: int) -> tuple[int, int]:
-        """Tokens of the whole text, and the length of its longest prefix within the budget."""
+    def count_and_fit(self, text: str, budget: int) -> tuple[int, int, int]:
+        """Tokens of the text, the length of its longest prefix within the budget, and the parts the library counted."""
         parts = self.parts(text)
-        known = self.totals
-        new = [p for p in set(parts) if p not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(parts))
-        known.update((p, self._total(p, n)) for p, n in zip(new, self._library(new)))
-        ends = list(accumulate(map(known.__getitem__, parts)))
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
+        tables = list(map(self.tables.__getitem__, parts))
+        asked = sum(type(t) is tuple for t in tables) if self.asked else 0
+        ends = list(accumulate(map(itemgetter(-1), tables)))
         if not ends or ends[-1] <= budget:
-            return (ends[-1] if ends else 0), len(text)
+            return (ends[-1] if ends else 0), len(text), asked
         k = int(np.searchsorted(ends, budget, side="right"))
         # the budget runs out inside part k; longer prefixes of the part need not have more tokens
         before = ends[k - 1] if k else 0
         length = sum(map(len, parts[:k])) - 1 if k else -1
-        inside = [i for i, c in enumerate(self.table(parts[k])) if before + c <= budget]
-        return ends[-1], max(0, length + inside[-1])
+        inside = [i for i, c in enumerate(tables[k]) if before + c <= budget]
+        return ends[-1], max(0, length + inside[-1]), asked
 
 
 @lru_cache(maxsize=2)
@@ -188,10 +207,11 @@ worker_table("token_counts", counter.cache_clear)
 
 
 def count_tokens(docs: DataFrame, model_file: str, budget: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, n_tokens, over_limit, n_fitting)`` per input row.
+    """``(doc_id, n_bytes, n_tokens, over_limit, n_fitting, n_by_library)`` per input row.
 
     ``n_fitting`` is the length, in code points, of the longest prefix with at
-    most ``budget`` tokens.
+    most ``budget`` tokens; ``n_by_library`` counts the parts without a table of
+    our own.
     """
     source = docs.select(docs[id_col], docs[text_col])
 
@@ -202,8 +222,8 @@ def count_tokens(docs: DataFrame, model_file: str, budget: int = 4096, id_col: s
         found = [model.count_and_fit(t, budget) for t in texts]
         n = np.array([x[0] for x in found], np.int64)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n), pa.array(n > budget), pa.array([x[1] for x in found], pa.int64())],
-            names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_fitting"],
+            [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n), pa.array(n > budget), *(pa.array([x[k] for x in found], pa.int64()) for k in (1, 2))],
+            names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_fitting", "n_by_library"],
         )
 
-    return map_batches(source, run, f"doc_id {dict(source.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean, n_fitting long")
+    return map_batches(source, run, f"doc_id {dict(source.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean, n_fitting long, n_by_library long")

@@ -251,6 +251,31 @@ def test_steps_reach_the_library_count(pieces, spark, tiny):
     assert [pieces.count_and_fit(t, 4096)[0] for t in texts] == [len(x) for x in pieces.sp.encode(texts)]
 
 
+def test_counts_come_from_the_tables(pieces, spark, tiny, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").limit(20).collect()]
+    own = token_counts.PrefixCounter(public_tokenizers.path("piece_bpe_32k.model"))
+    right = own._steps
+    with monkeypatch.context() as m:  # nothing is encoded by the library while counting
+        m.setattr(own, "_library", lambda parts: pytest.fail("the library was asked"))
+        assert [own.count_and_fit(t, 50)[0] for t in texts] == [len(x) for x in pieces.sp.encode(texts)]
+    own.tables = token_counts._Tables(own._made)
+    monkeypatch.setattr(own, "_steps", lambda part: [c + 1 for c in right(part)])
+    assert all(own.count_and_fit(t, 1 << 40)[0] != len(x) for t, x in zip(texts, pieces.sp.encode(texts)) if t)
+    own.tables = token_counts._Tables(own._made)
+    monkeypatch.setattr(own, "_steps", lambda part: None)  # without a table the library counts, and this is told
+    found = [own.count_and_fit(t, 50) for t in texts]
+    assert [x[0] for x in found] == [len(x) for x in pieces.sp.encode(texts)] and all(x[2] == len(own.parts(t)) for x, t in zip(found, texts))
+
+
+def test_tables_not_met_for_longest_go_first(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE", 8)
+    made = []
+    tables = token_counts._Tables(lambda p: made.append(p) or p)
+    for p in [*"abcd", "a", *"efg", "a", *"hijk", "a"]:
+        assert tables[p] == p and len(tables) <= 4 and len(tables.older) <= 4
+    assert made.count("a") == 1 and len(made) == 11
+
+
 def test_token_count_rows(odd, empty):
     file = public_tokenizers.path("piece_bpe_32k.model")
     rows = token_counts.count_tokens(odd, file).collect()
