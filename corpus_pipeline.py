@@ -8,8 +8,9 @@ All stages but the last return the columns of ``documents``.
 2. ``near_duplicates``: one document of each group stays: SimHash blocks
    propose pairs, a similarity of 0.8 or more of their five-word shingles links.
 3. ``decontamination``: documents that hold a benchmark item go.
-4. ``mixing``: sources in proportion to what is left of them, interleaved; the
-   rows are written in the order of the mix.
+4. ``mixing``: sources weighted by the square roots of what is left of them, so
+   that small ones come up more often; all rows stay and are written in the order
+   of the mix.
 5. ``tokens``: token files in that order, read back: one row per document.
 """
 
@@ -45,8 +46,8 @@ def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def interleaved(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, sorted by the slots of a proportional mix of the sources."""
-    mix = mixing.mixed(docs, prefix="_out_")
+    """All documents, sorted by the slots of a mix of the sources."""
+    mix = mixing.mixed(docs, F.sqrt(F.col("bytes").cast("double")), prefix="_out_")
     return mix.orderBy("_out_slot", "_out_at_byte", "doc_id").select(*docs.columns)
 
 

@@ -99,31 +99,32 @@ QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_simhash, op4_tokens,
 ORACLES: dict[str, str] = {
     "op1_mixing": """
 WITH RECURSIVE
-d AS (SELECT doc_id, source, coalesce('=' || source, '') AS skey, md5(coalesce(doc_id::VARCHAR, '')) AS dg,
-        coalesce(octet_length(encode(text)), 0)::BIGINT AS size FROM documents),
+d AS (SELECT doc_id, source, coalesce('=' || source, '') AS skey, md5(coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS dg,
+        octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents),
 b AS (SELECT *, (('0x' || substr(dg, 1, 6))::BIGINT * 4096) // 16777216 AS bucket FROM d),
 placed AS (SELECT doc_id, source, skey, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY bucket, dg, doc_id, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_byte FROM b),
-sources AS (SELECT skey, sqrt(greatest(sum(size), 0)::DOUBLE) AS w, greatest(ceil(sum(size) / 65536.0), 1)::BIGINT AS blocks FROM b GROUP BY skey),
-ideal AS (SELECT *, greatest(w, 1e-9) / sum(greatest(w, 1e-9)) OVER () * (1000 - count(*) OVER ()) AS exact FROM sources),
-ranked AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, skey) AS rank,
-        1000 - sum(floor(exact) + 1) OVER () AS spare FROM ideal),
-shares AS (SELECT skey, blocks, (floor(exact) + 1 + CASE WHEN rank <= spare THEN 1 ELSE 0 END)::BIGINT AS q FROM ranked),
-lists AS (SELECT list(q ORDER BY skey) AS ql, list(skey ORDER BY skey) AS sl FROM shares),
+sized AS (SELECT skey, sum(size)::BIGINT AS bytes FROM b GROUP BY skey),
+least_unit AS (SELECT greatest(65536, ceil(sum(bytes) / 262144.0))::BIGINT AS m FROM sized),
+units AS (SELECT CASE WHEN m > 65536 THEN 1::BIGINT << length(bin(m - 1)) ELSE 65536 END AS unit FROM least_unit),
+weighed AS (SELECT skey, greatest(sqrt(bytes::DOUBLE), 1e-9) AS w, bytes // unit + 1 AS blocks FROM sized, units),
+shares AS (SELECT skey, blocks, greatest(round(w / max(w) OVER () * (2199023255552 // count(*) OVER ())), 1)::BIGINT AS u FROM weighed),
+lists AS (SELECT list(u ORDER BY skey) AS ul, list(blocks ORDER BY skey) AS bl, list(skey ORDER BY skey) AS sl FROM shares),
 sim AS (
-  SELECT -1 AS t, list_transform(ql, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM lists
+  SELECT -1::BIGINT AS t, 0::BIGINT AS start, 0::BIGINT AS epoch, list_sum(ul)::BIGINT AS total, list_transform(ul, lambda x: 0::BIGINT) AS done, list_transform(ul, lambda x: 0::BIGINT) AS base,
+    0::BIGINT AS pick, 0::BIGINT AS block, 0::BIGINT AS release, 0::BIGINT AS deadline, 0::BIGINT AS during FROM lists
   UNION ALL
-  SELECT t + 1, list_transform(done, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p
-  FROM (SELECT t, done, list_min(list_filter(list_transform(range(1, len(ql) + 1), lambda i:
-          CASE WHEN (done[i] * 1000) // ql[i] <= t + 1 THEN (((done[i] + 1) * 1000 + ql[i] - 1) // ql[i]) * 100000 + i END),
+  SELECT t + 1, CASE WHEN ended THEN t + 2 ELSE start END, epoch + ended::BIGINT, CASE WHEN ended THEN total - ul[p] ELSE total END, now, CASE WHEN ended THEN now ELSE base END,
+    p, done[p], start + ((done[p] - base[p]) * total) // ul[p], start + ((done[p] - base[p] + 1) * total + ul[p] - 1) // ul[p], epoch
+  FROM (SELECT *, done[p] + 1 = bl[p] AS ended, list_transform(done, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END) AS now
+    FROM (SELECT *, list_min(list_filter(list_transform(range(1, len(ul) + 1), lambda i:
+          CASE WHEN done[i] < bl[i] AND ((done[i] - base[i]) * total) // ul[i] <= t + 1 - start
+            THEN (((done[i] - base[i] + 1) * total + ul[i] - 1) // ul[i]) * 100000 + i END),
           lambda v: v IS NOT NULL)) % 100000 AS p
-        FROM sim, lists WHERE t < 999)),
-slots AS (SELECT sl[pick] AS skey, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM sim, lists WHERE t >= 0),
-ends AS (SELECT min((blocks // q) * 1000 + slot) AS horizon FROM shares JOIN slots USING (skey) WHERE k = blocks % q)
-SELECT doc_id, source, at_byte // 65536 AS block, ((at_byte // 65536) * 1000) // q AS release,
-  ((at_byte // 65536 + 1) * 1000 + q - 1) // q AS deadline, ((at_byte // 65536) // q) * 1000 + slot AS slot, at_byte,
-  ((at_byte // 65536) // q) * 1000 + slot < horizon AS on_target
-FROM placed JOIN shares USING (skey) JOIN slots USING (skey), ends WHERE k = (at_byte // 65536) % q
+        FROM sim, lists WHERE t + 1 < list_sum(bl)))),
+slots AS (SELECT sl[pick] AS skey, block, release, deadline, t AS slot, during FROM sim, lists WHERE t >= 0)
+SELECT doc_id, source, block, release, deadline, slot, at_byte, during AS epoch, during = 0 AS on_target
+FROM (SELECT *, at_byte // unit AS block FROM placed, units) JOIN slots USING (skey, block)
 """,
     "op6_line_dedup": """
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import zlib
 from fractions import Fraction
@@ -16,65 +17,92 @@ from rasterloom.llm import decontamination, mixing, quality, queries, warc
 SCHEMA = "doc_id long, text string, source string, slot string"
 
 
-def simulated(shares, period):
-    """Earliest deadline first over released blocks, slot by slot."""
-    names = sorted(shares)
-    done = dict.fromkeys(names, 0)
-    out = []
-    for t in range(period):
-        ready = [(-(-(done[s] + 1) * period // shares[s]), s) for s in names if done[s] * period // shares[s] <= t]
-        out.append(min(ready)[1])
-        done[out[-1]] += 1
+def simulated(shares, blocks):
+    """Earliest deadline first over released blocks, slot by slot, with exact fractions; a source that ends begins an epoch."""
+    active, done, base, start, epoch, out = sorted(shares), dict.fromkeys(shares, 0), dict.fromkeys(shares, 0), 0, 0, []
+    while active:
+        total, t = sum(shares[s] for s in active), len(out)
+        ready = []
+        for s in active:
+            w, k = Fraction(shares[s], total), done[s] - base[s]
+            if math.floor(k / w) <= t - start:
+                ready.append((math.ceil((k + 1) / w), s, math.floor(k / w)))
+        due, s, free = min(ready)
+        out.append((s, done[s], start + free, start + due, t, epoch))
+        done[s] += 1
+        if done[s] == blocks[s]:
+            active.remove(s)
+            base, start, epoch = dict(done), t + 1, epoch + 1
     return out
 
 
 # --- mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1.0}, {"a": 0.5, **{f"s{i}": 0.01 for i in range(50)}}, {"a": 7.0, "b": 2.0, "c": 1.3, "d": 0.001}])
-def test_schedule_stays_within_a_block(spark, weights):
-    period = 200
-    table = spark.createDataFrame([(k, w, 1000) for k, w in weights.items()], "skey string, w double, blocks long")
-    dealt = mixing.shares(table, period)
-    shares = {r.skey: r.q for r in dealt.collect()}
-    assert sum(shares.values()) == period and min(shares.values()) >= 1
-    rows = mixing.schedule(dealt, period).collect()
-    order = [r.skey for r in sorted(rows, key=lambda r: r.slot)]
-    assert order == simulated(shares, period)
-    given = dict.fromkeys(shares, 0)
-    for t, s in enumerate(order, 1):
+@pytest.mark.parametrize(
+    "weights, blocks",
+    [
+        ({"a": 1.0, "b": 1.0}, {"a": 30, "b": 40}),
+        ({"a": 0.5, **{f"s{i}": 0.005 for i in range(100)}}, {"a": 400, **{f"s{i}": 3 for i in range(100)}}),  # half, not 451 of 1000
+        ({"a": 7.0, "b": 2.0, "c": 1.3, "d": 0.0007}, {"a": 900, "b": 50, "c": 333, "d": 1}),
+    ],
+)
+def test_schedule_stays_within_a_block_of_the_target(spark, weights, blocks):
+    table = spark.createDataFrame([(k, w, blocks[k]) for k, w in weights.items()], "skey string, w double, blocks long")
+    dealt = mixing.shares(table)
+    shares = {r.skey: r.u for r in dealt.collect()}
+    rows = sorted((r.skey, r.block, r.release, r.deadline, r.slot, r.epoch) for r in mixing.schedule(dealt).collect())
+    plain = simulated(shares, blocks)
+    assert rows == sorted(plain)
+    assert all(free <= t < due for _, _, free, due, t, _ in plain) and [x[4] for x in plain] == list(range(sum(blocks.values())))
+    total = Fraction(0) + sum(Fraction(w) for w in weights.values())
+    given = dict.fromkeys(weights, 0)
+    for s, _, _, _, t, epoch in plain:
         given[s] += 1
-        assert all(abs(given[x] - Fraction(t * q, period)) < 1 for x, q in shares.items())
+        if epoch == 0:  # the weights asked for, not rounded ones
+            assert all(abs(given[x] - (t + 1) * Fraction(w) / total) < 1 for x, w in weights.items())
 
 
-def test_more_sources_than_slots_is_an_error(spark):
-    table = spark.createDataFrame([(str(i), 1.0, 1) for i in range(5)], "skey string, w double, blocks long")
-    with pytest.raises(Exception, match="more sources"):
-        mixing.shares(table, 4).collect()
+def test_a_small_weight_is_kept_and_sources_may_be_many(spark):
+    weights = {"large": 1.0, "small": 0.0001}
+    table = spark.createDataFrame([(k, w, 6000) for k, w in weights.items()], "skey string, w double, blocks long")
+    early = mixing.schedule(mixing.shares(table)).filter("skey = 'small' and epoch = 0").count()
+    assert early <= 1  # of 6001 slots, not one of every thousand
+    many = spark.createDataFrame([(f"s{i}", 1.0 + i % 3, 1) for i in range(1500)], "skey string, w double, blocks long")
+    rows = mixing.schedule(mixing.shares(many)).collect()
+    assert sorted(r.slot for r in rows) == list(range(1500)) and len({r.skey for r in rows}) == 1500
 
 
 def test_mix_of_rows(spark):
     rng = random.Random(5)
     rows = [(i, "x" * rng.randrange(0, 60), rng.choice(["a", "a", "b", "c", None]), "kept" if i % 2 else None) for i in range(800)]
-    rows += [(None, "lost id", "a", "kept"), (3, "again", "b", "kept"), (3, "again", "b", "kept"), (900, None, "c", "kept")]
+    rows += [(None, "lost id", "a", "kept"), (None, "another", "a", None), (3, "again", "b", "kept"), (3, "again", "b", "kept"), (900, None, "c", "kept")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, other string")
-    out = mixing.mixed(df, {"a": 0.5, "b": 0.3, "c": 0.1, None: 0.1}, block_bytes=256, period=50, buckets=8).collect()
+    weights = {"a": 0.5, "b": 0.3, "c": 0.1, None: 0.1}
+    out = mixing.mixed(df, weights, block_bytes=256, buckets=8).collect()
     assert sorted((str(r.doc_id), str(r.text), str(r.source), str(r.other)) for r in out) == sorted(tuple(map(str, r)) for r in rows)
-    shares = {"a": 25, "b": 15, "c": 5, None: 5}
     slots = {}
     for r in out:
-        assert r.release <= r.slot < r.deadline
+        assert r.release <= r.slot < r.deadline and r.on_target == (r.epoch == 0)
         assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
-    blocks = {s: 1 + max(r.block for r in out if r.source == s) for s in shares}
-    assert len(slots) <= sum(blocks.values())
-    on = sorted((r.slot, r.source) for r in out if r.on_target)
-    assert on and all(r.on_target for r in out if r.slot < on[-1][0])
+    ends = sorted({r.slot: r.epoch for r in out}.items())
+    assert [e for _, e in ends] == sorted(e for _, e in ends)
+    # while all take part, blocks are within one of the target
+    last = max(t for t, e in ends if e == 0)
+    for s, w in weights.items():
+        got = 1 + max(r.block for r in out if r.source == s and r.epoch == 0)
+        assert abs(got - w * (last + 1)) < 1
     # within a source the bytes are numbered without gaps or overlaps
-    for s in shares:
+    for s in weights:
         at = 0
         for r in sorted((r for r in out if r.source == s), key=lambda r: (r.at_byte, len((r.text or "").encode()))):
-            assert r.at_byte == at
+            assert r.at_byte == at and r.block == at // 256
             at += len((r.text or "").encode())
+    # larger blocks where the mix would have too many
+    fewer = mixing.mixed(df, weights, block_bytes=256, max_blocks=20, buckets=8).collect()
+    size = sum(len((r[1] or "").encode()) for r in rows)
+    unit = next(1 << k for k in range(40) if (1 << k) * 20 >= size)
+    assert unit > 256 and all(r.block == r.at_byte // unit for r in fewer)
     assert mixing.mixed(df.limit(0)).count() == 0
     with pytest.raises(Exception, match="no weight"):
         mixing.mixed(df, {"a": 1.0}).collect()
