@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 # The order in which deflate sends the lengths of its length code.
@@ -13,37 +11,37 @@ VP8L_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 
 
 def limited_lengths(counts, limit: int) -> np.ndarray:
-    """Huffman code lengths of at most ``limit``; unused symbols get 0, a lone one 1.
+    """Optimal prefix code lengths of at most ``limit``; unused symbols get 0, a lone one 1.
 
-    While the tree is too deep its rare symbols are raised to a doubled floor.
-    Equal weights merge in the order of symbols, then of creation.
+    Package-merge: a symbol of length n takes part in n levels.  Each level's list
+    is the symbols by count merged with pairs of the level below; going back from
+    the 2n - 2 least of the top level tells how many symbols each level takes.
+    Equal counts stand in the order of symbols, symbols before pairs.
     """
     counts = np.asarray(counts, np.int64)
     lengths = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
-    if len(used) < 2:
+    n = len(used)
+    if n < 2:
         lengths[used] = 1
         return lengths
-    floor = 1
-    while True:
-        heap = [(max(int(counts[s]), floor), k) for k, s in enumerate(used)]
-        heapq.heapify(heap)
-        parent: dict[int, int] = {}
-        serial = len(used)
-        while len(heap) > 1:
-            wa, a = heapq.heappop(heap)
-            wb, b = heapq.heappop(heap)
-            parent[a] = parent[b] = serial
-            heapq.heappush(heap, (wa + wb, serial))
-            serial += 1
-        depth = {serial - 1: 0}
-        for node in range(serial - 2, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        deepest = [depth[k] for k in range(len(used))]
-        if max(deepest) <= limit:
-            lengths[used] = deepest
-            return lengths
-        floor *= 2
+    if n > 1 << limit:
+        raise ValueError(f"{n} symbols have no code of at most {limit} bits")
+    by_count = used[np.argsort(counts[used], kind="stable")]
+    weights = counts[by_count]
+    level, is_symbol = weights, [np.ones(n, bool)]
+    for _ in range(limit - 1):
+        pairs = level[:len(level) // 2 * 2].reshape(-1, 2).sum(axis=1)
+        both = np.concatenate([weights, pairs])
+        order = np.argsort(both, kind="stable")
+        level = both[order]
+        is_symbol.append(order < n)
+    taken = 2 * n - 2
+    for kinds in reversed(is_symbol):
+        symbols = int(np.count_nonzero(kinds[:taken]))
+        lengths[by_count[:symbols]] += 1
+        taken = 2 * (taken - symbols)
+    return lengths
 
 
 def canonical(lengths, reverse: bool = True) -> np.ndarray:
@@ -72,31 +70,30 @@ def run_lengths(lengths, repeat_first: int = 0) -> list[tuple[int, int, int]]:
 
     In deflate 16 repeats the length before it; in VP8L the last length that was
     not 0, and before any was sent ``repeat_first`` (8), which must then be given.
+    A run too long for one repeat symbol is shared evenly among as few as it takes.
     """
-    out: list[tuple[int, int, int]] = []
-    previous, i, n = repeat_first or None, 0, len(lengths)
-    while i < n:
-        value, j = int(lengths[i]), i
-        while j < n and lengths[j] == value:
-            j += 1
-        run = j - i
-        i = j
-        if value == 0:
-            while run >= 3:
-                part = min(run, 138)
-                out.append((18, part - 11, 7) if part >= 11 else (17, part - 3, 3))
-                run -= part
-            previous = previous if repeat_first else None
-        else:
-            if value != previous:
-                out.append((value, 0, 0))
-                previous, run = value, run - 1
-            while run >= 3:
-                part = min(run, 6)
-                out.append((16, part - 3, 2))
-                run -= part
-        out += [(value, 0, 0)] * run
-    return out
+    lengths = np.asarray(lengths, np.int64)
+    if not len(lengths):
+        return []
+    starts = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1]))
+    value, run = lengths[starts], np.diff(np.append(starts, len(lengths)))
+    zero = value == 0
+    # what 16 would repeat at the start of each run: neighbours differ, so in deflate never the run's value
+    said = np.concatenate([[repeat_first], value[~zero][:-1]]) if (~zero).any() else value[:0]
+    lead = np.zeros(len(run), np.int64)
+    lead[~zero] = value[~zero] != said if repeat_first else 1
+    rest = run - lead
+    repeats = np.where(rest >= 3, -(-rest // np.where(zero, 138, 6)), 0)
+    plain = lead + np.where(rest < 3, rest, 0)
+    of = np.repeat(np.arange(len(run)), plain + repeats)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(plain + repeats) - (plain + repeats), plain + repeats) - plain[of]
+    size, more = np.divmod(rest[of], np.maximum(repeats[of], 1))
+    size += place < more
+    as_is = place < 0
+    symbol = np.where(as_is, value[of], np.where(~zero[of], 16, np.where(size < 11, 17, 18)))
+    extra = np.where(as_is, 0, size - np.where(symbol == 18, 11, 3))
+    width = np.where(as_is, 0, np.where(symbol == 16, 2, np.where(symbol == 17, 3, 7)))
+    return list(zip(symbol.tolist(), extra.tolist(), width.tolist()))
 
 
 def header_codes(used: list[tuple[int, int, int]], limit: int = 7) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ from .predictors import subtract_green, tile_modes
 from .prefix_codes import VP8L_ORDER, canonical, header_codes, limited_lengths, run_lengths
 
 CACHE_BITS = 10
-SHORTEST, LONGEST, WINDOW, CHAIN = 3, 4096, 1 << 18, 24
+SHORTEST, LONGEST, WINDOW = 3, 4096, 1 << 18
 GREEN, DISTANCES = 256 + 24, 40
 
 # The (x, y) offsets of the 120 short distance codes (RFC 9649, 5.2.2).
@@ -65,72 +65,96 @@ def packed(argb: np.ndarray) -> np.ndarray:
 LITERAL, CACHED, COPY = range(3)
 
 
-def references(argb: np.ndarray, start: int, stop: int, width: int) -> list[tuple[int, int, int]]:
-    """Tokens ``(kind, value, distance code)`` of the pixels from start to stop.
+class _Repeats:
+    """How far a sequence goes on alike from two places: ranks of all stretches of 1, 2, 4, ... values.
 
-    A copy is the longest found among the pixel before, the pixel above and the
-    newest places with the same next two pixels; it may reach back into pixels
-    before ``start`` and ends with the band.
+    Two stretches are equal if their ranks are, and a stretch of 2k is ranked by
+    its halves; stretches that leave the sequence are equal to none.
+    """
+
+    def __init__(self, x: np.ndarray, most: int):
+        self.n, self.ranks = len(x), [np.unique(x, return_inverse=True)[1].astype(np.int64)]
+        size = 1
+        while 2 * size <= min(most, self.n):
+            half = self.ranks[-1]
+            inside = half[:self.n - 2 * size + 1] * (self.n + 1) + half[size:self.n - size + 1]
+            found, rank = np.unique(inside, return_inverse=True)
+            if len(found) == len(rank):  # no stretch this long occurs again
+                break
+            self.ranks.append(np.concatenate([rank, len(found) + np.arange(2 * size - 1)]))
+            size *= 2
+
+    def before(self, level: int) -> np.ndarray:
+        """For each place the last one before it with an equal stretch of 2 ** level values, or -1."""
+        rank = self.ranks[level]
+        order = np.argsort(rank, kind="stable")
+        out = np.full(self.n, -1, np.int64)
+        same = rank[order][1:] == rank[order][:-1]
+        out[order[1:][same]] = order[:-1][same]
+        return out
+
+    def alike(self, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How many values are alike from the places ``at`` and, before them, ``other``."""
+        length = np.zeros(len(at), np.int64)
+        for level in [len(self.ranks) - 1, *range(len(self.ranks) - 1, -1, -1)]:
+            inside = np.flatnonzero(at + length < self.n)
+            while len(inside):
+                i, j = at[inside] + length[inside], other[inside] + length[inside]
+                inside = inside[self.ranks[level][i] == self.ranks[level][j]]
+                length[inside] += 1 << level
+                # stretches of the longest size ranked may follow one another
+                inside = inside[at[inside] + length[inside] < self.n] if level == len(self.ranks) - 1 else inside[:0]
+        return length
+
+
+def references(argb: np.ndarray, start: int, stop: int, width: int) -> np.ndarray:
+    """Tokens ``(kind, value, distance code)``, one a row, of the pixels from start to stop.
+
+    For every pixel at once the longest copy is looked up among the pixel before,
+    the one above, and the nearest places where the next 2, 4, 16 and 64 pixels are
+    the same; it may reach back into pixels before ``start`` and ends with the band.
+    Going through the pixels, a copy waits if one that is longer begins at the next.
     """
     near = near_codes(width)
     floor = max(0, start - WINDOW)
-    a = argb[floor:stop].tolist()
-    n, first = len(a), start - floor
-    cache = cache_before(argb, start).tolist()
-    slots = cache_slot(argb[floor:stop]).tolist()
-    places: dict[tuple[int, int], list[int]] = {}
-    # how far pixels go on equal to those one before and one row above
-    equal = {}
-    for d in dict.fromkeys((1, width)):
-        run = np.zeros(n + 1, np.int64)
-        if d < n:
-            same = np.zeros(n, bool)
-            same[d:] = argb[floor + d:stop] == argb[floor:stop - d]
-            ends = np.append(np.flatnonzero(~same), n)
-            run[:n] = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-        equal[d] = run
-
-    def seen(i: int) -> None:
-        if i + 1 < n:
-            places.setdefault((a[i], a[i + 1]), []).append(i)
-
-    for i in range(first):
-        seen(i)
-    out = []
-    i = first
-    while i < n:
-        limit = min(LONGEST, n - i)
-        best = distance = 0
-        if limit >= SHORTEST:
-            for d, run in equal.items():
-                if d <= i and min(int(run[i]), limit) > best:
-                    best, distance = min(int(run[i]), limit), d
-            if best < limit and i + 1 < n:
-                for j in places.get((a[i], a[i + 1]), ())[:-CHAIN - 1:-1]:
-                    if i - j > WINDOW:
-                        break
-                    k = 2
-                    while k < limit and a[i + k] == a[j + k]:
-                        k += 1
-                    if k > best:
-                        best, distance = k, i - j
-                        if k == limit:
-                            break
-        if best >= SHORTEST:
-            out.append((COPY, best, near.get(distance, distance + len(NEAR))))
-            for k in range(i, i + best):
-                seen(k)
-                cache[slots[k]] = a[k]
-            i += best
-            continue
-        if cache[slots[i]] == a[i]:
-            out.append((CACHED, slots[i], 0))
-        else:
-            out.append((LITERAL, a[i], 0))
-            cache[slots[i]] = a[i]
-        seen(i)
-        i += 1
-    return out
+    x = argb[floor:stop]
+    first, n = start - floor, stop - start
+    if n <= 0:
+        return np.zeros((0, 3), np.int64)
+    own = np.arange(first, len(x))
+    repeats = _Repeats(x, LONGEST)
+    sources = [own - 1, own - width]
+    sources += [repeats.before(level)[first:] for level in (1, 2, 4, 6) if level < len(repeats.ranks)]
+    length, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for source in sources:
+        there = np.flatnonzero((source >= 0) & (own - source <= WINDOW))
+        found = np.minimum(repeats.alike(own[there], source[there]), LONGEST)
+        better = found > length[there]
+        length[there[better]], distance[there[better]] = found[better], (own - source)[there[better]]
+    # the cache holds each slot's last pixel whatever tokens are chosen
+    slot = cache_slot(argb[:stop]).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    last = np.full(stop, -1, np.int64)
+    same = slot[order][1:] == slot[order][:-1]
+    last[order[1:][same]] = order[:-1][same]
+    last = last[start:]
+    held = np.where(last >= 0, argb[last], 0) == argb[start:stop]  # an empty slot holds 0
+    waits = np.append(length[1:] > length[:-1], False)
+    copies = ((length >= SHORTEST) & ~waits).tolist()
+    steps = length.tolist()
+    at, begins = 0, []
+    while at < n:
+        begins.append(at)
+        at += steps[at] if copies[at] else 1
+    at = np.array(begins, np.int64)
+    copied = np.array(copies, bool)[at]
+    kind = np.where(copied, COPY, np.where(held[at], CACHED, LITERAL))
+    value = np.where(copied, length[at], np.where(held[at], slot[start:][at], argb[start:stop][at].astype(np.int64)))
+    code = np.where(copied, distance[at] + len(NEAR), 0)
+    for d in np.unique(distance[at][copied]).tolist():
+        if d in near:
+            code[copied & (distance[at] == d)] = near[d]
+    return np.stack([kind, value, code], axis=1)
 
 
 def resolve(tokens, before: np.ndarray, width: int) -> np.ndarray:
@@ -143,7 +167,7 @@ def resolve(tokens, before: np.ndarray, width: int) -> np.ndarray:
         out.append(p)
         cache[int(cache_slot(np.array([p], np.uint32))[0])] = p
 
-    for kind, value, code in tokens:
+    for kind, value, code in np.asarray(tokens).tolist():
         if kind == COPY:
             d = max(1, by_code[code]) if code <= len(NEAR) else code - len(NEAR)
             for _ in range(value):

@@ -183,9 +183,9 @@ def lz77_tokens(images: DataFrame, band_rows: int) -> DataFrame:
                 for band, y in enumerate(range(0, len(rows), band_rows)):
                     tokens = vp8l.references(flat, y * w, min(len(rows), y + band_rows) * w, w)
                     for kind in range(3):
-                        own = [t for t in tokens if t[0] == kind]
+                        own = tokens[tokens[:, 0] == kind]
                         ids.append(k)
-                        out.append((band, kind, len(own), sum(t[1] for t in own) if kind == vp8l.COPY else len(own)))
+                        out.append((band, kind, len(own), int(own[:, 1].sum()) if kind == vp8l.COPY else len(own)))
             columns = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64())))], names=["image_id", "band", "kind", "tokens", "pixels"]
