@@ -33,18 +33,75 @@ def offsets(df: DataFrame, group: list[str], order: list[str], size: Column, sta
     return df.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)) + start)
 
 
-def offsets_by_bucket(df: DataFrame, order: str, size: str, buckets: int = 256) -> DataFrame:
-    """``offset`` over a whole table in the order of a column, without one task for all rows.
+def bucket_of(df: DataFrame, order: str, buckets: int) -> Column:
+    """The number of the range of ``order`` a row falls into, from 0; nulls come first.
 
-    The range of the column is cut into buckets; sums of buckets are added up and
-    rows are summed within their bucket.  Rows that tie on ``order`` stand in any order.
+    The bounds are a few values found beforehand, so the number depends on the row
+    alone, whatever plan it is worked out in.  They only decide how even ranges are.
     """
-    keyed = df.repartitionByRange(buckets, order).withColumn("_part", F.spark_partition_id())
-    sums = keyed.groupBy("_part").agg(F.sum(size).alias("_n"))
-    base = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    local = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # one row a bucket is broadcast
-    return keyed.withColumn("_local", local).join(F.broadcast(base), F.col("_part") == F.col("_p")).withColumn("offset", F.col("_base") + F.col("_local")).drop("_part", "_p", "_base", "_local")
+    numeric = dict(df.dtypes)[order].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz")
+    if numeric:
+        at = [i / buckets for i in range(1, buckets)]
+        found = df.agg(F.percentile_approx(order, at, 10 * buckets)).first()[0] or [] if at else []
+    else:  # those of least hash among the distinct values, a bounded list
+        rows = df.select(order).distinct().filter(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(16 * buckets).collect()
+        found = sorted(r[0] for r in rows)[::16]
+    bounds = sorted(set(found))
+    if not bounds:
+        return F.lit(0)
+    kind = df.schema[order].dataType
+    step = max(1, int(len(bounds) ** 0.5))
+    whole, coarse = F.array(*map(F.lit, bounds)).cast(f"array<{kind.simpleString()}>"), F.array(*map(F.lit, bounds[step - 1::step])).cast(f"array<{kind.simpleString()}>")
+    below = lambda bound: bound < F.col(order)
+    # how many bounds lie below: whole steps first, then within one
+    steps = F.size(F.filter(coarse, below)) * step
+    return F.when(F.col(order).isNull(), 0).otherwise(steps + F.size(F.filter(F.slice(whole, steps + 1, step), below)))
+
+
+def _by_bucket(df: DataFrame, group: list[str], order: list[str], buckets: int) -> tuple[DataFrame, Window]:
+    keyed = df.withColumn("_part", bucket_of(df, order[0], buckets))
+    return keyed, Window.partitionBy(*group, "_part").orderBy(*order)
+
+
+def _with_base(keyed: DataFrame, base: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with what is known of their group's bucket; a row a group and bucket, joined as its size allows."""
+    renamed = base.select(*(F.col(c).alias(f"_of_{c}") for c in (*group, "_part")), *(c for c in base.columns if c not in {*group, "_part"}))
+    meets = F.lit(True)
+    for c in (*group, "_part"):
+        meets = meets & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return keyed.join(renamed, meets).drop(*(f"_of_{c}" for c in (*group, "_part")))
+
+
+def offsets_by_bucket(df: DataFrame, order: str | list[str], size: str, buckets: int = 256, group: list[str] = (), start: int = 0) -> DataFrame:
+    """``offset`` within each group - or the whole table - in the order of columns, no group being one task.
+
+    The range of the first order column is cut into buckets; sums of a group's
+    buckets are added up and rows are summed within their bucket.  Rows that tie
+    in all order columns stand in any order.
+    """
+    order, group = [order] if isinstance(order, str) else list(order), list(group)
+    keyed, within = _by_bucket(df, group, order, buckets)
+    sums = keyed.groupBy(*group, "_part").agg(F.sum(size).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    local = F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = _with_base(keyed.withColumn("_local", local), base, group)
+    return placed.withColumn("offset", F.col("_base") + F.col("_local") + start).drop("_part", "_base", "_local")
+
+
+def previous_by_bucket(df: DataFrame, order: str | list[str], value: str, default, buckets: int = 256, group: list[str] = ()) -> DataFrame:
+    """``previous``: the value of the row before in its group, no group being one task.
+
+    A bucket's first row takes the last value of the bucket before it that has rows.
+    """
+    order, group = [order] if isinstance(order, str) else list(order), list(group)
+    keyed, within = _by_bucket(df, group, order, buckets)
+    lasts = keyed.groupBy(*group, "_part").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    before = Window.partitionBy(*group).orderBy("_part")
+    base = lasts.select(*group, "_part", F.lag("_last").over(before).alias("_before"))
+    placed = _with_base(keyed.withColumn("_own", F.lag(F.struct(F.col(value).alias("v"))).over(within)), base, group)
+    found = F.coalesce("_own", "_before")
+    return placed.withColumn("previous", F.when(found.isNull(), F.lit(default)).otherwise(found["v"])).drop("_part", "_own", "_before")
 
 
 def band_sums(df: DataFrame, id_col: str, row_bytes: int, least_rows: int, workers: int, per_worker: int) -> DataFrame:
@@ -82,8 +139,7 @@ def folded_adler(df: DataFrame, id_col: str, row_bytes: int, least_rows: int, wo
 
 def merged(df: DataFrame, id_col: str, order: str, data: str) -> DataFrame:
     """``(id, data)``: binary parts of a file joined in order; a file fits a task by nature."""
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("d"))))
-    return df.groupBy(id_col).agg(F.aggregate(F.transform(ordered, lambda p: p["d"]), F.lit(b""), lambda s, d: F.concat(s, d)).alias("data"))
+    return df.groupBy(id_col).agg(F.expr(f"listagg(`{data}`) within group (order by `{order}`)").alias("data"))
 
 
 def first_errors(df: DataFrame, id_col: str, order: str, error: str) -> DataFrame:

@@ -28,16 +28,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
-    """A small table dealt out to all cores; a large one as it is.
+def spread(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
+    """A table of at most so many rows dealt out to all cores; a larger one as it is.
 
-    A table of one row group is one task however many splits it has.  Where Spark
-    knows a table to be under ``bytes_per_core`` a core, dealing it out costs little;
-    larger ones come in splits enough.
+    A table of one row group is one task however many splits it has.  Larger tables
+    come in splits enough, and are never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if known < cores * bytes_per_core else df
+    small = df.select(df.columns[0]).limit(rows + 1).count() <= rows
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
 
 
 def text_images(spark: SparkSession, folder: str, row_bytes: int = 64) -> DataFrame:

@@ -64,7 +64,7 @@ def strip_plan(spark, folder):
 FROM (SELECT source, doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)""")
 def strip_offsets(spark, folder):
     sizes = table(spark, folder, "documents").select("source", "doc_id", F.octet_length(C.utf8(F.col("text"))).cast("long").alias("n_bytes"))
-    return bands.offsets(sizes, ["source"], ["doc_id"], F.col("n_bytes"), 8).withColumnRenamed("offset", "first")
+    return bands.offsets_by_bucket(sizes, "doc_id", "n_bytes", group=["source"], start=8).withColumnRenamed("offset", "first")
 
 
 @Q.add("""SELECT doc_id, n::BIGINT AS n_bytes, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
@@ -79,8 +79,8 @@ def stream_offsets(spark, folder):
 SELECT lang, doc_id, coalesce(sum(n_chars * 7) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM documents)""")
 def bit_offsets(spark, folder):
     """Where bit streams of known lengths (seven bits a character) are spliced."""
-    sizes = table(spark, folder, "documents").select("lang", "doc_id", "n_chars")
-    placed = bands.offsets(sizes, ["lang"], ["doc_id"], F.col("n_chars") * 7)
+    sizes = table(spark, folder, "documents").select("lang", "doc_id", (F.col("n_chars") * 7).alias("n_bits"))
+    placed = bands.offsets_by_bucket(sizes, "doc_id", "n_bits", group=["lang"])
     return placed.select("lang", "doc_id", F.expr("offset div 8").alias("byte"), (F.col("offset") % 8).cast("int").alias("shift"))
 
 
@@ -238,7 +238,7 @@ def zero_run_ac(spark, folder):
 SELECT label, vec_id, (dc - lag(dc, 1, 0) OVER (PARTITION BY label ORDER BY vec_id))::INT AS diff FROM d""")
 def dc_delta(spark, folder):
     d = table(spark, folder, "embeddings").select("label", "vec_id", F.round(F.col("embedding")[0] * 100).cast("int").alias("dc"))
-    return d.select("label", "vec_id", (F.col("dc") - F.lag("dc", 1, 0).over(Window.partitionBy("label").orderBy("vec_id"))).alias("diff"))
+    return bands.previous_by_bucket(d, "vec_id", "dc", 0, group=["label"]).select("label", "vec_id", (F.col("dc") - F.col("previous")).alias("diff"))
 
 
 @Q.add("""WITH c AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
@@ -348,11 +348,11 @@ def symbol_code_join(spark, folder):
     return x.join(F.broadcast(_fixed_lengths(spark)), "symbol").select("symbol", "bits", "n", (F.col("n") * F.col("bits")).alias("total"))
 
 
-@Q.add("""WITH p AS (SELECT p_brand, string_agg(p_size::VARCHAR, ',' ORDER BY p_partkey) AS palette FROM part WHERE p_partkey % 7 = 0 GROUP BY p_brand), f AS (SELECT palette FROM p ORDER BY p_brand LIMIT 1)
+@Q.add("""WITH p AS (SELECT p_brand, string_agg(p_size::VARCHAR, ',' ORDER BY p_partkey) AS palette FROM part GROUP BY p_brand), f AS (SELECT palette FROM p ORDER BY p_brand LIMIT 1)
 SELECT p_brand, p.palette = f.palette AS shares_first FROM p, f""")
 def palette_equality(spark, folder):
     """Palettes compared as they are encoded, with the first one."""
-    palettes = table(spark, folder, "part").filter("p_partkey % 7 = 0").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_size"))).alias("rows"))
+    palettes = table(spark, folder, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_size"))).alias("rows"))
     encoded = palettes.select("p_brand", F.transform("rows", lambda r: r["p_size"]).alias("palette"))
     first = F.min_by("palette", "p_brand").over(Window.partitionBy())  # a palette a brand: a short list
     return encoded.select("p_brand", (F.col("palette") == first).alias("shares_first"))

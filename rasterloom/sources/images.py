@@ -68,9 +68,8 @@ def synthetic(spark: SparkSession, kind: str, width: int, height: int, seed: int
 def gathered(pixels: DataFrame, channels: list[str]) -> DataFrame:
     """Pixels ``(image_id, y, x, channels)`` as rows of bytes ``(image_id, y, raw)``."""
     byte = lambda c: F.unhex(F.lpad(F.hex(F.col(c).cast("long")), 2, "0"))
-    cell = F.struct("x", F.concat(*(byte(c) for c in channels)).alias("v"))
-    row = F.sort_array(F.collect_list(cell))
-    return pixels.groupBy("image_id", "y").agg(row.alias("cells")).select("image_id", "y", F.aggregate(F.transform("cells", lambda c: c["v"]), F.lit(b""), lambda s, v: F.concat(s, v)).alias("raw"))
+    cells = pixels.select("image_id", "y", "x", F.concat(*(byte(c) for c in channels)).alias("v"))
+    return cells.groupBy("image_id", "y").agg(F.expr("listagg(v) within group (order by x)").alias("raw"))
 
 
 def opened(rows: DataFrame, channels: list[str]) -> DataFrame:
