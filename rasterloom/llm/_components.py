@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Each round is two grouped minima and two joins, all on the JVM; the state is
-the edge table, checkpointed to the shared folder after every round.  The hub
+the edge table, written to the shared folder after every round; the round before
+is deleted.  The hub
 of a star is a skewed join key, which adaptive execution splits; minima are
 combined before they are shuffled.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import checkpointed
+from ._base import removed, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,10 +33,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Nodes without an edge have no row.  An empty table gives an empty result.
     """
-    now = checkpointed(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
-        now = checkpointed(_small_star(_large_star(now)))
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        removed(before)
         seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if seen == state or seen[0] == 0:
             break

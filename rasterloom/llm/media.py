@@ -8,9 +8,12 @@ full sample table, ``mdat``.  ``inspect`` walks the nested boxes of such a file
 duration and the byte ranges of the key frames; it never looks into ``mdat``.
 
 Defined results: a null or empty payload is one frame of padding; equal
-payloads give equal files; a file that is no container, or a truncated one,
-raises ``ValueError`` in ``inspect``.  The operator reads the id and the text
-only, row by row, so repeated rows are repeated and empty tables stay empty.
+payloads give equal files; a file that is no container, or a damaged one, raises
+``ValueError`` in ``inspect``: every count in it is held against its box before
+anything of that size is made, and every sample against the file.  In ``features``
+such a file is a row with its ``error`` and no features; it fails no job.  The
+operator reads the id and the text only, row by row, so repeated rows are repeated
+and empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ SIDE = 24
 FRAME = SIDE * SIDE
 PAD = b"\xff"
 TIMESCALE = 25
+DEEPEST = 16
 _CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"udta", b"edts"}
 _MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -51,7 +55,7 @@ def pack(raw: bytes) -> bytes:
     """The container file of a payload."""
     data = padded(raw)
     frames = len(data) // FRAME
-    ftyp = _box(b"ftyp", b"qt  ", struct.pack(">I", 0x200), b"qt  ")
+    ftyp = _box(b"ftyp", b"isom", struct.pack(">I", 0x200), b"isom", b"iso2", b"qt  ")
     long = len(data) + 16 > 0xFFFFFFFF
 
     def moov(first: int) -> bytes:
@@ -79,6 +83,8 @@ def pack(raw: bytes) -> bytes:
 def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """All boxes, outer before inner, as (path, first byte, end) of their bodies."""
     end = len(data) if end is None else end
+    if len(path) > DEEPEST:
+        raise ValueError("boxes are nested too deep")
     while start < end:
         if end - start < 8:
             raise ValueError("a box header is cut off")
@@ -99,27 +105,44 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[
         start += size
 
 
-def _table(data: memoryview, at: int, columns: int, width: str = ">u4") -> np.ndarray:
+def _table(data: memoryview, span: tuple[int, int], columns: int, width: str = ">u4") -> np.ndarray:
+    """The rows of a full box that holds their number and then them."""
+    at, end = span
+    if end - at < 8:
+        raise ValueError("a table is cut off")
     (n,) = struct.unpack_from(">I", data, at + 4)
+    if n * columns * np.dtype(width).itemsize > end - at - 8:
+        raise ValueError("a table says it has more rows than its box")
     return np.frombuffer(data, width, n * columns, at + 8).reshape(n, columns).astype(np.int64)
 
 
 def sample_ranges(tables: dict[bytes, tuple[int, int]], data: memoryview) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and sizes of all samples, from the chunk and size tables."""
-    at = tables[b"stsz"][0]
+    at, end = tables[b"stsz"]
+    if end - at < 12:
+        raise ValueError("a table is cut off")
     fixed, n = struct.unpack_from(">2I", data, at + 4)
+    if n * fixed > len(data) or not fixed and 4 * n > end - at - 12:
+        raise ValueError("there are more samples than the file can hold")
     sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
     if b"co64" in tables:
-        chunks = _table(data, tables[b"co64"][0], 1, ">u8")[:, 0]
+        chunks = _table(data, tables[b"co64"], 1, ">u8")[:, 0]
+    elif b"stco" in tables:
+        chunks = _table(data, tables[b"stco"], 1)[:, 0]
     else:
-        chunks = _table(data, tables[b"stco"][0], 1)[:, 0]
-    runs = _table(data, tables[b"stsc"][0], 3)
+        raise ValueError("no chunk offsets")
+    runs = _table(data, tables[b"stsc"], 3)
     spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if len(runs) and runs[0, 0] != 1 or (spans < 1).any() or (runs[:, 1] > n).any() or sum(map(int.__mul__, spans.tolist(), runs[:, 1].tolist())) != n:
+        raise ValueError("chunks and samples do not agree")
     per_chunk = np.repeat(runs[:, 1], spans)
-    chunk_of = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
+    chunk_of = np.repeat(np.arange(len(per_chunk)), per_chunk)
     before = np.cumsum(sizes) - sizes
     firsts = np.cumsum(per_chunk) - per_chunk
-    return chunks[chunk_of] + before - before[firsts[chunk_of]], sizes
+    offsets = chunks[chunk_of] + before - before[firsts[chunk_of]]
+    if len(offsets) and (offsets.min() < 0 or (offsets > len(data) - sizes).any()):
+        raise ValueError("a sample lies outside the file")
+    return offsets, sizes
 
 
 def inspect(file: bytes) -> dict:
@@ -127,7 +150,13 @@ def inspect(file: bytes) -> dict:
 
     Adjoining key frames share a range ``(offset, length, frames)``.
     """
-    data = memoryview(file)
+    try:
+        return _inspect(memoryview(file))
+    except (struct.error, IndexError, KeyError, OverflowError) as e:
+        raise ValueError(f"a damaged container: {e!r}") from e
+
+
+def _inspect(data: memoryview) -> dict:
     tables: dict[bytes, tuple[int, int]] = {}
     out: dict = {"n_bytes": None}
     tracks = 0
@@ -135,24 +164,30 @@ def inspect(file: bytes) -> dict:
         kind = path[-1]
         tracks += kind == b"trak"
         if kind == b"nbyt":
-            (out["n_bytes"],) = struct.unpack_from(">Q", data, a)
+            (out["n_bytes"],) = struct.unpack_from(">Q", data[:b], a)
         if tracks != 1:
             continue
         if path[-2:-1] == (b"stbl",):
             tables[kind] = (a, b)
         elif kind == b"mdhd":
             wide = data[a] == 1
-            out["timescale"], out["duration"] = struct.unpack_from(">IQ" if wide else ">2I", data, a + (20 if wide else 12))
+            out["timescale"], out["duration"] = struct.unpack_from(">IQ" if wide else ">2I", data[:b], a + (20 if wide else 12))
     if not {b"stsd", b"stsz", b"stsc", b"stts"} <= tables.keys():
         raise ValueError("no sample tables")
-    at = tables[b"stsd"][0]
+    if not out.get("timescale"):
+        raise ValueError("no time scale")
+    at, end = tables[b"stsd"]
+    if end - at < 44:
+        raise ValueError("no sample description")
     out["codec"] = bytes(data[at + 12:at + 16]).decode("latin-1").strip()
     out["width"], out["height"] = struct.unpack_from(">2H", data, at + 40)
     offsets, sizes = sample_ranges(tables, data)
     out["samples"] = len(sizes)
-    deltas = _table(data, tables[b"stts"][0], 2)
-    out["ticks"] = int((deltas[:, 0] * deltas[:, 1]).sum())
-    keys = _table(data, tables[b"stss"][0], 1)[:, 0] - 1 if b"stss" in tables else np.arange(len(sizes))
+    deltas = _table(data, tables[b"stts"], 2)
+    out["ticks"] = sum(map(int.__mul__, deltas[:, 0].tolist(), deltas[:, 1].tolist()))
+    keys = _table(data, tables[b"stss"], 1)[:, 0] - 1 if b"stss" in tables else np.arange(len(sizes))
+    if len(keys) and not 0 <= keys.min() <= keys.max() < len(sizes):
+        raise ValueError("a key frame is no sample")
     starts, lengths = offsets[keys], sizes[keys]
     new = np.flatnonzero(np.append(True, starts[1:] != starts[:-1] + lengths[:-1])) if len(keys) else np.array([], int)
     ends = np.append(new[1:], len(keys))
@@ -161,9 +196,9 @@ def inspect(file: bytes) -> dict:
     return out
 
 
-def unpack(file: bytes) -> bytes:
+def unpack(file: bytes, info: dict | None = None) -> bytes:
     """The padded payload, gathered from the sample ranges."""
-    offsets, sizes = inspect(file)["all_ranges"]
+    offsets, sizes = (info or inspect(file))["all_ranges"]
     if len(sizes) and (offsets[1:] == offsets[:-1] + sizes[:-1]).all():
         return file[int(offsets[0]):int(offsets[-1] + sizes[-1])]
     return b"".join(file[o:o + s] for o, s in zip(offsets.tolist(), sizes.tolist()))
@@ -198,15 +233,20 @@ def features(stored: DataFrame) -> DataFrame:
             part = batch.slice(at, 256)
             rows = []
             for file in part.column(1).to_pylist():
-                info = inspect(file)
-                payload = unpack(file)
-                rows.append((info["n_bytes"], payload, zlib.crc32(payload[-32:]), feature(info), info["codec"], info["ticks"] / info["timescale"]))
+                try:
+                    if file is None:
+                        raise ValueError("no file")
+                    info = inspect(file)
+                    payload = unpack(file, info)
+                    rows.append((info["n_bytes"], payload, zlib.crc32(payload[-32:]), feature(info), info["codec"], info["ticks"] / info["timescale"], None))
+                except ValueError as e:
+                    rows.append((*[None] * 6, str(e)))
             columns = list(zip(*rows))
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, types))],
-                names=["doc_id", "media", "n_bytes", "payload", "tail_crc32", "feature", "codec", "seconds"],
+                names=["doc_id", "media", "n_bytes", "payload", "tail_crc32", "feature", "codec", "seconds", "error"],
             )
 
     id_type = dict(stored.dtypes)["doc_id"]
-    return map_batches(stored, run, f"doc_id {id_type}, media binary, n_bytes long, payload binary, tail_crc32 long, feature string, codec string, seconds double")
+    return map_batches(stored, run, f"doc_id {id_type}, media binary, n_bytes long, payload binary, tail_crc32 long, feature string, codec string, seconds double, error string")

@@ -2,9 +2,11 @@
 
 Base kinds (``email``, ``ip``, ``card``, ``phone``) are reported whenever their
 pattern matches and their validator agrees; nearby words only move their
-score.  Extra kinds (``iban``, ``ssn``, ``short_card``) look more like ordinary
-text, so they are kept only if their score, after the checksum and the context
-words, reaches ``threshold``.
+score.  Extra kinds (``iban``, ``ssn``, ``short_card``, ``secret``) look more like
+ordinary text, so they are kept only if their score, after the checksum and the
+context words, reaches ``threshold``.  An IBAN ends at its country's length,
+whatever stands after it.  A secret is a value of at least 16 characters given to
+a name such as token or password; its check is the spread of its characters.
 
 Defined results: a null or empty text has no spans; each row is handled on its
 own, so repeated rows give repeated results and an empty table gives none;
@@ -15,7 +17,9 @@ in time linear in the text, so one very long text is no danger.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from ._base import as_texts, map_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("iban", "ssn", "short_card")
+EXTRA_KINDS = ("iban", "ssn", "short_card", "secret")
 KINDS = BASE_KINDS + EXTRA_KINDS
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -33,9 +37,19 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_SECRET = re.compile(r"""(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key))["']?[ \t]{0,8}[:=][ \t]{0,8}["']?([A-Za-z0-9_+/.=-]{16,256})(?![A-Za-z0-9_+/.=-])""")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
+# The length of an IBAN in each country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+_IBAN_OF = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
 # Words that raise the score of a kind when they stand near it.
 CONTEXT = {
     "email": ("email", "e-mail", "mail", "contact"),
@@ -45,12 +59,13 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "konto", "compte"),
     "ssn": ("ssn", "social", "security", "insurance"),
     "short_card": ("card", "visa", "amex", "mastercard", "credit", "debit"),
+    "secret": ("token", "secret", "password", "key", "login", "auth"),
 }
 # Words that lower the score, as they announce some other number.
 AGAINST = ("version", "order", "isbn", "invoice", "part", "serial", "build")
 _WORD = re.compile(r"[a-z-]+")
 WINDOW = 40
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "short_card": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "short_card": 0.4, "secret": 0.5}
 
 
 def luhn(digits: str) -> bool:
@@ -114,6 +129,31 @@ def _phones(text: str):
             yield m.span()
 
 
+def _ibans(text: str):
+    """Spans of the length their country has, with a valid checksum."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        size = IBAN_LENGTHS.get(m[0][:2])
+        whole = _IBAN_OF[size].match(text, m.start()) if size and m.start() >= done else None
+        if whole and mod97(whole[0].replace(" ", "")):
+            yield whole.span()
+            done = whole.end()
+
+
+def spread(value: str) -> float:
+    """Bits a character, by how often each occurs in the value."""
+    n = len(value)
+    return -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+
+
+def _secrets(text: str):
+    """Values given to secret names: letters and digits mixed, of some three bits a character."""
+    for m in _SECRET.finditer(text):
+        value = m[1]
+        if spread(value) >= 2.8 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
+            yield m.span(1)
+
+
 def _overlaps(span, others) -> bool:
     return any(a < span[1] and span[0] < b for a, b in others)
 
@@ -153,14 +193,16 @@ def find_spans(text: str, threshold: float = 0.6) -> list[tuple[str, int, int, f
     if "+" in text:
         spans += [("phone", a, b, context_score("phone", text, a, b)) for a, b in _phones(text)]
     base = [(a, b) for _, a, b, _ in spans]
-    more = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    more = [("iban", *span) for span in _ibans(text)]
     more += [("ssn", *m.span()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     more += [("short_card", a, b) for a, b in short]
     for kind, a, b in more:
         score = context_score(kind, text, a, b)
         if score >= threshold and not _overlaps((a, b), base):
             spans.append((kind, a, b, score))
-    return spans
+    # a secret is longer than what of it may look like a number, and is told beside that
+    scored = [("secret", a, b, context_score("secret", text, a, b)) for a, b in _secrets(text)]
+    return spans + [x for x in scored if x[3] >= threshold]
 
 
 def redact(text: str, spans) -> str:

@@ -36,8 +36,9 @@ def _number(kind: str):
 
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.detect(table(spark, folder, "documents"))
+    scores = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.format_number(s["score"], 2))), ",")
     counts = [_number(k).alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(_spans(pii.BASE_KINDS), 256).alias("base_sha256"), _spans(pii.KINDS).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_spans(pii.BASE_KINDS), 256).alias("base_sha256"), _spans(pii.KINDS).alias("spans"), F.size("spans").cast("long").alias("n_spans"), scores.alias("scores"))
 
 
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:

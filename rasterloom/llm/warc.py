@@ -26,9 +26,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.raster_files import RasterFiles
 from ._base import as_bytes, written
 
 _GZIP = 31
@@ -88,8 +89,10 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
                 head = bytes(held[at:end])
                 if not head.startswith(b"WARC/"):
                     raise ValueError("no WARC record here")
-                length = next(int(x[15:]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                need = end + 4 - at + length + 4
+                length = next((x[15:].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+                if not length.isdigit():
+                    raise ValueError("a WARC record without its length")
+                need = end + 4 - at + int(length) + 4
             if len(held) - at < need:
                 break
             yield bytes(held[at:at + need])
@@ -102,15 +105,22 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(gz: bytes) -> Iterator[bytes]:
-    """The content of a gzip file of any number of members, in bounded pieces."""
+    """The content of a gzip file of any number of members, in bounded pieces.
+
+    A member that is cut off, or whose checksum does not hold, raises ``ValueError``.
+    """
     view = memoryview(gz)
     inflater, at = zlib.decompressobj(_GZIP), 0
-    tail = b""
+    tail, open_member = b"", False
     while at < len(view) or tail:
         if not tail:
             tail = bytes(view[at:at + _PIECE])
             at += len(tail)
-        out = inflater.decompress(tail, _PIECE)
+        try:
+            out = inflater.decompress(tail, _PIECE)
+        except zlib.error as e:
+            raise ValueError(f"a damaged gzip member: {e}") from e
+        open_member = not inflater.eof
         if out:
             yield out
         if inflater.eof:
@@ -118,6 +128,8 @@ def inflate(gz: bytes) -> Iterator[bytes]:
             inflater = zlib.decompressobj(_GZIP)
         else:
             tail = inflater.unconsumed_tail
+    if open_member:
+        raise ValueError("the last gzip member is cut off")
 
 
 def normalise_archive(gz: bytes, level: int = 6) -> tuple[bytes, list[tuple[int, int]]]:
@@ -169,16 +181,52 @@ def archive(pages: DataFrame, min_bytes: int = 100, roll: int = 32 << 20, broadc
 
 
 def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
-    """``gz`` with one member a record, and the sidecar ``offsets`` and ``lengths``."""
+    """``gz`` with one member a record, and the sidecar ``offsets`` and ``lengths``.
+
+    An archive that cannot be read whole has null columns and its ``error``.
+    """
 
     def run(batches):
         for batch in batches:
             for gz in batch.column(0).to_pylist():
-                out, index = normalise_archive(gz, level)
-                columns = [pa.array([out], pa.binary()), pa.array([[x[0] for x in index]], pa.list_(pa.int64())), pa.array([[x[1] for x in index]], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["gz", "offsets", "lengths"])
+                try:
+                    out, index = normalise_archive(gz or b"", level)
+                    row = [out, [x[0] for x in index], [x[1] for x in index], None]
+                except ValueError as e:
+                    row = [None, None, None, str(e)]
+                columns = [pa.array([x], t) for x, t in zip(row, (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["gz", "offsets", "lengths", "error"])
+
+    return written(archives.select("gz").mapInArrow(run, "gz binary, offsets array<long>, lengths array<long>, error string"), "warc", "uncompressed")
+
+
+def save(normal: DataFrame, path: str) -> None:
+    """Normalised archives as files any WARC reader opens: ``<name>.warc.gz`` and its sidecar ``<name>.idx``.
 
-    return written(archives.select("gz").mapInArrow(run, "gz binary, offsets array<long>, lengths array<long>"), "warc", "uncompressed")
+    A line of the sidecar is the offset and length of a record's member.  ``path``
+    is a folder of the shared store; files appear when the job has been committed.
+    """
+    name = F.sha2("gz", 256)
+    lines = F.array_join(F.zip_with("offsets", "lengths", lambda o, n: F.concat_ws(" ", o, n)), "\n")
+    whole = normal.filter("gz is not null")
+    files = whole.select(F.explode(F.array(F.struct(F.concat(name, F.lit(".warc.gz")).alias("name"), F.col("gz").alias("file")), F.struct(F.concat(name, F.lit(".idx")).alias("name"), F.encode(lines, "UTF-8").alias("file")))).alias("f"))
+    normal.sparkSession.dataSource.register(RasterFiles)
+    files.select("f.name", "f.file").write.format("rasterfiles").mode("append").save(path)
+
+
+def load(spark: SparkSession, path: str, pattern: str = "*.warc.gz") -> DataFrame:
+    """``(name, gz)`` of archive files, monolithic or not, for ``normalise``."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").alias("gz"))
+
+
+def load_indexed(spark: SparkSession, path: str) -> DataFrame:
+    """``gz``, ``offsets`` and ``lengths`` of archives that ``save`` wrote, from their sidecars."""
+    lines = load(spark, path, "*.idx").select(F.regexp_replace("name", "[.]idx$", "").alias("n"), F.split(F.decode("gz", "UTF-8"), "\n").alias("lines"))
+    number = lambda k: F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.split(x, " ")[k].cast("long"))
+    sidecars = lines.select("n", number(0).alias("offsets"), number(1).alias("lengths"))
+    archives = load(spark, path).select(F.regexp_replace("name", "[.]warc[.]gz$", "").alias("n"), "gz")
+    return archives.join(sidecars, "n").select("gz", "offsets", "lengths")
 
 
 def _page(name: str | None) -> int | None:
@@ -198,7 +246,12 @@ def describe(member: bytes) -> tuple:
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """One row per record of normalised archives, found by the sidecar index."""
+    """One row per record of normalised archives, found by the sidecar index.
+
+    An archive that could not be normalised is an error here: its pages would be missing.
+    """
+    if "error" in archives.columns:
+        archives = archives.withColumn("gz", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("binary")).otherwise(F.col("gz")))
 
     def run(batches):
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]

@@ -269,6 +269,34 @@ def test_normaliser_takes_any_members():
         warc.normalise_archive(gzip.compress(raw[0][:-3]))
 
 
+def test_damaged_archives_are_error_rows(spark):
+    raw = warc.record(1, "u", b"x" * 300, hashlib.sha256(b"x" * 300).hexdigest(), None)
+    gz = gzip.compress(raw)
+    for bad in (gz[:-1], gz[:-8], gz[:-9], gz[:40], gz[:-6] + b"\0" * 6, gz + b"more", b"text", gzip.compress(raw.replace(b"Content-Length: ", b"Content-Length: x"))):
+        with pytest.raises(ValueError):
+            warc.normalise_archive(bad)
+    rows = warc.normalise(spark.createDataFrame([(gz,), (gz[:-1],), (None,)], "gz binary"))
+    found = sorted((r.error or "", len(r.lengths or [])) for r in rows.collect())
+    assert found[:2] == [("", 0), ("", 1)]
+    assert any("cut off" in e for e, _ in found)
+    with pytest.raises(Exception, match="cut off"):
+        warc.read(rows).collect()
+    assert warc.read(rows.filter("error is null")).count() == 1
+
+
+def test_archives_as_files(spark, tmp_path):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    normal = warc.normalise(warc.archive(df, roll=700))
+    path = f"file://{tmp_path}/archives"
+    warc.save(normal, path)
+    names = sorted(p.name for p in (tmp_path / "archives").iterdir())
+    assert len(names) == 2 * normal.count() and all(n.endswith((".warc.gz", ".idx")) for n in names)
+    plain = b"".join(gzip.open(p).read() for p in (tmp_path / "archives").glob("*.warc.gz"))
+    assert plain.count(b"WARC-Payload-Digest") == len(PAGES)
+    rows = lambda x: sorted(map(str, warc.read(x).collect()))
+    assert rows(warc.load_indexed(spark, path)) == rows(normal) == rows(warc.normalise(warc.load(spark, path)))
+
+
 # --- SQL, pipeline
 
 

@@ -71,6 +71,22 @@ def test_checksums_and_context():
     assert pii.redact("write a@b.cd now", pii.find_spans("write a@b.cd now")) == "write [email] now"
 
 
+def test_ibans_end_where_their_country_says():
+    for text in ("DE89 3704 0044 0532 0130 00.", "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "to DE89370400440532013000 2024", "DE12 GB82 WEST 1234 5698 7654 32 A"):
+        found = [(a, b) for k, a, b, _ in pii.find_spans(text) if k == "iban"]
+        assert len(found) == 1 and pii.mod97(text[slice(*found[0])].replace(" ", "")), text
+    assert not [s for s in pii.find_spans("DE89 3704 0044 0532 0130 01 and XX89 3704 0044 0532 0130 00") if s[0] == "iban"]
+
+
+def test_secrets_are_values_that_look_random():
+    text = 'set token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and go'
+    (kind, a, b, score), = [s for s in pii.find_spans(text) if s[0] == "secret"]
+    assert text[a:b] == "04dbebab91ab85687d33eeaaf9ac699e1188f962" and score >= 0.6
+    assert "[secret]" in pii.redact(text, pii.find_spans(text))
+    for other in ("token = 1111111111111111111", "the token: nothingbutlettersinhere", "password: short1", "tokens = 04dbebab91ab85687d33eeaaf9ac699e1188f962"):
+        assert not [s for s in pii.find_spans(other) if s[0] == "secret"], other
+
+
 def test_long_runs_take_linear_time():
     began = time.time()
     for unit in ("a", "1", "1.", "+1", "a@", "1 ", "A1", "DE12"):
@@ -358,6 +374,28 @@ def test_key_frames_and_chunks_by_table():
     assert info["key_ranges"] == [(1000, 10, 1), (3000, 40, 1)]
 
 
+def test_damaged_containers_are_error_rows(spark):
+    file = media.pack(b"some payload")
+    head = len(file) - media.FRAME
+    for at in range(head):
+        for value in (0, 1, 127, 255, file[at] ^ 1):
+            try:
+                media.unpack(file[:at] + bytes([value]) + file[at + 1:])
+            except ValueError:
+                pass  # and nothing else
+    for cut in range(0, len(file), 7):
+        with pytest.raises(ValueError):
+            media.inspect(file[:cut])
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"moov", deep)
+    with pytest.raises(ValueError):
+        media.inspect(deep)
+    rows = {r.doc_id: r for r in media.features(spark.createDataFrame([(1, file), (2, file[:-1]), (3, b"text"), (4, None)], "doc_id long, media binary")).collect()}
+    assert rows[1].error is None and rows[1].payload is not None
+    assert all(rows[k].error and rows[k].feature is None for k in (2, 3, 4))
+
+
 def test_media_rows(odd, empty):
     rows = media.features(media.store(odd)).collect()
     assert len(rows) == len(ODD)
