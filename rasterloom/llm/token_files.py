@@ -3,8 +3,12 @@
 Documents are range-partitioned by the order asked for, encoded, and packed
 into shards of about ``shard_tokens`` ids.  A shard is one self-contained
 compressed file: a document index and one bit plane per bit of an id, in
-wavelet matrix order.  ``Shard`` answers token access, counting and occurrence
-lookup from the file with rank and select; ``decode`` reads all documents back.
+wavelet matrix order.  A plane is cut into blocks of 2**15 bits, each compressed
+on its own together with its counts of ones by 512 bits; the file's directory
+says where a block begins and how many ones are before it.  So ``Shard`` answers
+token access, counting and occurrence lookup by rank and select from the few
+blocks they meet, and builds nothing when it is opened; ``decode`` reads all
+documents back.  ``save`` writes shards as files of their own.
 
 Shards are rows of a Parquet table in shared storage, so any store Spark can
 write to will do and a lost task is run again.  The start of a document is the
@@ -33,11 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.raster_files import RasterFiles
 from ._base import as_texts, claim_worker, map_batches, worker_table, written
 
 #: Words a worker remembers, and the longest of them: some 200 MB at most.
 CACHE, LONGEST = 1_000_000, 64
-_MAGIC = b"WMX1"
+_MAGIC, _HEAD = b"WMX2", "<4sQQIQ"
+#: Bits of a block, which is compressed on its own, and of a part, whose ones are counted in it.
+BLOCK, PART = 1 << 15, 512
+_BLOCK_BYTES, _PART_WORDS, _COUNT_BYTES = BLOCK // 8, PART // 64, 2 * (BLOCK // PART)
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 # The byte-level split for texts of the characters below, where its letters and numbers are these.
 _SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
@@ -102,77 +110,107 @@ worker_table("token_files", encoder.cache_clear)
 
 
 def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """The file of a shard: header, document index and bit planes, compressed."""
+    """The file of a shard: header, document index, directory and blocks of bit planes."""
     n = len(ids)
     planes = max(1, int(ids.max()).bit_length()) if n else 1
-    sections = [
-        np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
-        np.packbits(np.array([x is None for x in doc_ids], bool)).tobytes(),
-        np.array(lengths, "<i8").tobytes(),
-    ]
-    zeros = []
-    for level in range(planes - 1, -1, -1):
-        one = (ids & ids.dtype.type(1 << level)).astype(bool)
-        sections.append(np.packbits(one).tobytes())
-        low = np.compress(~one, ids)
-        zeros.append(len(low))
-        ids = np.concatenate((low, np.compress(one, ids)))
-    sections.insert(0, np.array(zeros, "<i8").tobytes())
     packer = zstandard.ZstdCompressor(level=1)
-    packed = [packer.compress(s) for s in sections]
-    head = struct.pack("<4sQQI", _MAGIC, len(doc_ids), n, planes) + np.array([len(p) for p in packed], "<u8").tobytes()
-    return b"".join((head, *packed))
+    index = b"".join(
+        (np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(), np.packbits(np.array([x is None for x in doc_ids], bool)).tobytes(), np.array(lengths, "<i8").tobytes())
+    )
+    index = packer.compress(index)
+    per_plane = -(-n // BLOCK)
+    directory = np.zeros((planes, per_plane + 1, 2), "<u4")  # ones before each block, bytes before it
+    blocks: list[bytes] = []
+    size = 0
+    for k, level in enumerate(range(planes - 1, -1, -1)):
+        one = (ids & ids.dtype.type(1 << level)).astype(bool)
+        bits = np.packbits(one)
+        padded = np.zeros(per_plane * _BLOCK_BYTES, np.uint8)
+        padded[:len(bits)] = bits
+        counts = np.bitwise_count(padded.view(np.uint64)).reshape(per_plane, BLOCK // PART, _PART_WORDS).sum(axis=2, dtype=np.int64)
+        directory[k, 1:, 0] = np.cumsum(counts.sum(axis=1))
+        within = (np.cumsum(counts, axis=1) - counts).astype("<u2")
+        for j in range(per_plane):
+            directory[k, j, 1] = size
+            blocks.append(packer.compress(within[j].tobytes() + padded[j * _BLOCK_BYTES:(j + 1) * _BLOCK_BYTES].tobytes()))
+            size += len(blocks[-1])
+        directory[k, per_plane, 1] = size
+        ids = np.concatenate((np.compress(~one, ids), np.compress(one, ids)))
+    return b"".join((struct.pack(_HEAD, _MAGIC, len(doc_ids), n, planes, len(index)), index, directory.tobytes(), *blocks))
 
 
 class Shard:
-    """A shard file, opened: a wavelet matrix over its ids."""
+    """A shard file, opened: a wavelet matrix over its ids.
+
+    ``file`` is anything that can be sliced by bytes.  Only the head, the document
+    index and the directory are read here; ``blocks_read`` counts the blocks inflated
+    since.  A block is kept until another of its plane is needed.
+    """
 
-    def __init__(self, file: bytes):
-        magic, self.n_docs, self.n, self.planes = struct.unpack_from("<4sQQI", file)
+    def __init__(self, file):
+        head = struct.calcsize(_HEAD)
+        magic, self.n_docs, self.n, self.planes, size = struct.unpack(_HEAD, file[:head])
         if magic != _MAGIC:
             raise ValueError("no shard file")
-        at = struct.calcsize("<4sQQI")
-        sizes = np.frombuffer(file, "<u8", self.planes + 4, at)
-        self._cuts = at + 8 * len(sizes) + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self._file, self._unpack = file, zstandard.ZstdDecompressor()
-        self.zeros = np.frombuffer(self._section(0), "<i8")
-        void = np.unpackbits(np.frombuffer(self._section(2), np.uint8), count=self.n_docs)
-        self.doc_ids = [None if v else int(x) for x, v in zip(np.frombuffer(self._section(1), "<i8"), void)]
-        self.lengths = np.frombuffer(self._section(3), "<i8")
-        self._planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _section(self, k: int) -> bytes:
-        return self._unpack.decompress(self._file[self._cuts[k]:self._cuts[k + 1]])
+        index = self._unpack.decompress(file[head:head + size])
+        void = np.unpackbits(np.frombuffer(index, np.uint8, -(-self.n_docs // 8), 8 * self.n_docs), count=self.n_docs)
+        self.doc_ids = [None if v else x for x, v in zip(np.frombuffer(index, "<i8", self.n_docs).tolist(), void.tolist())]
+        self.lengths = np.frombuffer(index, "<i8", self.n_docs, len(index) - 8 * self.n_docs)
+        per_plane = -(-self.n // BLOCK)
+        at = head + size
+        self._first = at + 8 * self.planes * (per_plane + 1)
+        table = np.frombuffer(file[at:self._first], "<u4").reshape(self.planes, per_plane + 1, 2)
+        self._ones, self._starts = table[:, :, 0].astype(np.int64), table[:, :, 1].astype(np.int64)
+        self.zeros = self.n - self._ones[:, -1]
+        self._held: dict[int, tuple[int, bytes]] = {}
+        self.blocks_read = 0
+
+    def _block(self, plane: int, j: int) -> bytes:
+        """The counts and bits of a block."""
+        held = self._held.get(plane)
+        if held is None or held[0] != j:
+            a, b = self._first + self._starts[plane, j], self._first + self._starts[plane, j + 1]
+            held = self._held[plane] = j, self._unpack.decompress(self._file[a:b])
+            self.blocks_read += 1
+        return held[1]
 
     def _bits(self, plane: int) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(self._section(4 + plane), np.uint8), count=self.n).view(bool)
-
-    def _ranked(self, plane: int) -> tuple[np.ndarray, np.ndarray]:
-        """Packed bits, and the ones before each byte."""
-        if plane not in self._planes:
-            packed = np.frombuffer(self._section(4 + plane), np.uint8)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
-            self._planes[plane] = packed, ones
-        return self._planes[plane]
+        a, b = self._first + self._starts[plane, 0], self._first + self._starts[plane, -1]
+        raw = self._file[a:b]
+        cuts = (self._starts[plane] - self._starts[plane, 0]).tolist()
+        bits = b"".join([self._unpack.decompress(raw[x:y])[_COUNT_BYTES:] for x, y in zip(cuts, cuts[1:])])
+        return np.unpackbits(np.frombuffer(bits, np.uint8), count=self.n).view(bool)
 
     def _rank(self, plane: int, at: int) -> int:
         """Ones among the first ``at`` bits of a plane."""
-        packed, ones = self._ranked(plane)
-        byte, rest = divmod(at, 8)
-        return int(ones[byte]) + (int(packed[byte] >> (8 - rest)).bit_count() if rest else 0)
+        j, rest = divmod(at, BLOCK)
+        ones = int(self._ones[plane, j])
+        if rest:
+            block = self._block(plane, j)
+            part, bits = divmod(rest, PART)
+            if part:
+                ones += int.from_bytes(block[2 * part:2 * part + 2], "little") if part < BLOCK // PART else 0
+            start = _COUNT_BYTES + part * PART // 8
+            if bits:
+                ones += (int.from_bytes(block[start:start + PART // 8], "big") >> (PART - bits)).bit_count()
+        return ones
 
     def _select(self, plane: int, bit: int, k: int) -> int:
         """The place of the k-th (from 0) bit of a kind in a plane."""
-        packed, ones = self._ranked(plane)
-        seen = ones if bit else np.arange(len(ones)) * 8 - ones
-        byte = int(np.searchsorted(seen, k, side="right")) - 1
-        k -= int(seen[byte])
-        for i in range(8):
-            if (int(packed[byte]) >> (7 - i) & 1) == bit:
-                if not k:
-                    return byte * 8 + i
-                k -= 1
-        raise IndexError(k)
+        ones = self._ones[plane]
+        seen = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        if not 0 <= k < seen[-1]:
+            raise IndexError(k)
+        j = int(np.searchsorted(seen, k, side="right")) - 1
+        block = self._block(plane, j)
+        k -= int(seen[j])
+        counts = np.frombuffer(block, "<u2", BLOCK // PART).astype(np.int64)
+        counts = counts if bit else np.arange(len(counts)) * PART - counts
+        part = int(np.searchsorted(counts, k, side="right")) - 1
+        k -= int(counts[part])
+        own = np.unpackbits(np.frombuffer(block, np.uint8, PART // 8, _COUNT_BYTES + part * PART // 8))
+        return j * BLOCK + part * PART + int(np.flatnonzero(own == bit)[k])
 
     def access(self, at: int) -> int:
         """The id at a position."""
@@ -198,14 +236,17 @@ class Shard:
 
     def count(self, symbol: int, start: int = 0, stop: int | None = None) -> int:
         """How often an id occurs in a range of positions."""
-        if symbol >> self.planes:
+        if symbol < 0 or symbol >> self.planes:
             return 0
-        a, b = self._range(symbol, start, self.n if stop is None else stop)
+        stop = self.n if stop is None else stop
+        if not 0 <= start <= stop <= self.n:
+            raise IndexError((start, stop))
+        a, b = self._range(symbol, start, stop)
         return b - a
 
     def occurrences(self, symbol: int) -> list[int]:
         """All positions of an id, ascending."""
-        if symbol >> self.planes:
+        if symbol < 0 or symbol >> self.planes:
             return []
         first, last = self._range(symbol, 0, self.n)
         out = []
@@ -291,6 +332,13 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 2, shard_to
     return written(dealt.mapInArrow(run, SHARD), "tokens", "uncompressed")
 
 
+def save(shards: DataFrame, path: str) -> None:
+    """Shards as files ``<part>-<shard>.wm``, in a folder of the shared store; they appear when the job has been committed."""
+    shards.sparkSession.dataSource.register(RasterFiles)
+    name = F.format_string("%08d-%08d.wm", "part", "shard")
+    shards.select(name.alias("name"), F.col("payload").alias("file")).write.format("rasterfiles").mode("append").save(path)
+
+
 def read_back(shards: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document in shard files."""
 

@@ -210,9 +210,59 @@ def test_shard_answers_from_its_file():
     for symbol in (0, 3, 8, int(ids[5]), 60_000, 70_000):
         assert shard.occurrences(symbol) == np.flatnonzero(ids == symbol).tolist()
         assert shard.count(symbol, 1000, 4500) == (ids[1000:4500] == symbol).sum()
+    for bounds in ((-1, 5), (5, 4), (0, len(ids) + 1)):
+        with pytest.raises(IndexError):
+            shard.count(3, *bounds)
+    for at in (-1, len(ids)):
+        with pytest.raises(IndexError):
+            shard.access(at)
+    assert shard.count(-1) == 0 and shard.occurrences(-1) == []
     assert (token_files.Shard(token_files.build([], [], ids[:0])).decode() == ids[:0]).all()
 
 
+@pytest.mark.parametrize("n", [1, 511, 512, 513, token_files.BLOCK - 1, token_files.BLOCK, token_files.BLOCK + 1, 5 * token_files.BLOCK + 77])
+def test_shards_of_any_number_of_blocks(n):
+    rng = np.random.default_rng(n)
+    ids = (rng.zipf(1.3, n) % 50_000).astype(np.uint16)
+    shard = token_files.Shard(token_files.build([1], [n], ids))
+    assert (shard.decode() == ids).all()
+    for at in rng.integers(0, n, 30).tolist() + [0, n - 1]:
+        assert shard.access(at) == ids[at]
+    for symbol in {int(ids[0]), int(ids[-1]), 1}:
+        places = np.flatnonzero(ids == symbol)
+        assert shard.count(symbol) == len(places) and (len(places) > 2000 or shard.occurrences(symbol) == places.tolist())
+
+
+def test_an_access_reads_a_block_a_plane():
+    class Slices:  # a file that counts what is read of it
+        def __init__(self, data):
+            self.data, self.read = data, 0
+
+        def __getitem__(self, part):
+            self.read += part.stop - (part.start or 0)
+            return self.data[part]
+
+    rng = np.random.default_rng(8)
+    ids = rng.integers(0, 50_000, 1 << 19).astype(np.uint16)
+    file = Slices(token_files.build([1, 2], [1 << 18, 1 << 18], ids))
+    shard = token_files.Shard(file)
+    opened = file.read
+    assert opened < len(file.data) / 100
+    assert shard.access(300_000) == ids[300_000]
+    assert shard.blocks_read <= 2 * shard.planes and file.read - opened <= len(file.data) / 10
+    held = sum(len(raw) for _, raw in shard._held.values())
+    assert held <= shard.planes * (token_files.BLOCK // 8 + 128)
+
+
+def test_shards_as_files(spark, odd, tmp_path):
+    shards = token_files.write_shards(odd, public_tokenizers.path("byte_bpe_50k.json"), shard_tokens=64)
+    path = f"file://{tmp_path}/shards"
+    token_files.save(shards, path)
+    files = {p.name: p.read_bytes() for p in (tmp_path / "shards").iterdir()}
+    assert files == {f"{r.part:08d}-{r.shard:08d}.wm": bytes(r.payload) for r in shards.collect()}
+    assert sum(token_files.Shard(x).n_docs for x in files.values()) == odd.count()
+
+
 def test_ids_are_dealt_in_ranges(spark):
     rng = random.Random(9)
     for ids in ([], [5], [None, 5, 5, 5], [rng.randrange(-50, 10_000) for _ in range(3000)] + [None] * 3 + [7] * 500):
