@@ -9,9 +9,12 @@ of documents and the largest one are counted exactly.  Filters err on one side
 only, so no repeat is missed, and the exact count drops false suspects.  Texts
 without a dropped key are never shuffled.
 
-The filter has a fixed size (``filter_bits``), a bound on what is broadcast.
-Far beyond ``filter_bits / 8`` distinct keys more keys become suspects and are
-shuffled for the exact count; the result stays the same.
+The filter's size follows from the number of lines, which is counted first and
+bounds the number of keys: sixteen bits a line, rounded up to a power of two, and
+``max_filter_bits`` (2**29, 64 MB) at most, a bound on what is broadcast.  At the
+bound a few hundred million lines still leave nearly all single keys clear; far
+beyond, more keys become suspects and are shuffled for the exact count, and the
+result stays the same.
 
 Defined results: a null or empty text is one empty line; rows that share an id
 are one document; null ids are one document, smaller than all others; an empty
@@ -149,16 +152,20 @@ class _Filter:
 worker_table("line_dedup", _Filter._open.clear)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, filter_bits: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, filter_bits: int | None = None, max_filter_bits: int = 1 << 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_dropped, text)`` with repeated lines taken out.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs``
     documents loses its lines in all but the largest id that holds it.
     """
-    if filter_bits & (filter_bits - 1) or not 64 <= filter_bits <= 1 << 32:
-        raise ValueError("filter_bits is a power of two, 2**32 at most")
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    if filter_bits is None:
+        breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+        lines = source.agg(F.sum(breaks.cast("long") + 1)).first()[0] or 0
+        filter_bits = min(max_filter_bits, max(1 << 20, 1 << (16 * lines - 1).bit_length() if lines else 0))
+    if filter_bits & (filter_bits - 1) or not 64 <= filter_bits <= 1 << 32:
+        raise ValueError("filter_bits is a power of two, 2**32 at most")
     id_type = dict(source.dtypes)["doc_id"]
     # bounded by filter_bits / 8 bytes, whatever the size of the input
     bits = [(r.segment, bytes(r.bits)) for r in repeat_filter(source, min_chars, filter_bits).collect()]
