@@ -156,14 +156,16 @@ def fit_rules(x: np.ndarray, y: np.ndarray, features: list[str], penalty: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` of the labelled rows, those of least hash of the id."""
+    """Fit on at most ``sample`` of the labelled ids, those of least hash, a row each."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
     # at most ``sample`` short rows are broadcast
-    rows = with_statistics(texts.join(F.broadcast(chosen), "id"), "t", "s_").drop("t")
+    rows = with_statistics(texts.join(F.broadcast(chosen), "id"), "t", "s_").withColumn("h", F.xxhash64("t")).drop("t")
     names = list(statistics(F.lit("")))
-    found = rows.select("y", *(f"s_{k}" for k in names)).limit(4 * sample).toPandas()
+    # of rows that share an id the one with the least hash of its text: what is learnt does not depend on their order
+    one = rows.groupBy("id").agg(F.min(F.struct("h", "y", *(f"s_{k}" for k in names))).alias("r"))
+    found = one.select(F.col("id").cast("string").alias("id"), "r.*").toPandas().sort_values("id")
     return fit_rules(found[[f"s_{k}" for k in names]].to_numpy(float), found["y"].to_numpy(float), names)
 
 
@@ -179,6 +181,9 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: st
     """The documents with at least that score, their columns unchanged."""
     # Spark would move the filter below the statistics and so compute them anew for
     # every rule; next to a column that is not deterministic it leaves them be
-    rows = with_statistics(docs, text_col, "_stat_").withColumn("_stat_row", F.monotonically_increasing_id())
-    kept = rows.filter((model.score("_stat_") >= threshold) & (F.col("_stat_row") >= 0))
+    prefix = "_stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    rows = with_statistics(docs, text_col, prefix).withColumn(f"{prefix}row", F.monotonically_increasing_id())
+    kept = rows.filter((model.score(prefix) >= threshold) & (F.col(f"{prefix}row") >= 0))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

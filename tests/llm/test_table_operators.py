@@ -225,6 +225,17 @@ def test_compiled_rules_give_the_fitted_scores(spark):
     assert ((raw > 0) == y).mean() > 0.97
 
 
+def test_what_is_learnt_does_not_depend_on_the_order_of_rows(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    doubled = docs.unionAll(docs.select("doc_id", F.reverse("text").alias("text")))
+    first = quality.fit(doubled, labels, sample=60)
+    assert quality.fit(doubled.orderBy(F.desc("doc_id"), "text").repartition(7), labels.orderBy(F.rand(1)), sample=60) == first
+    clash = docs.withColumn("_stat_row", F.lit(3)).withColumn("_stat_words", F.lit("mine"))
+    kept = quality.accepted(clash, first, 0.0)
+    assert kept.columns == clash.columns and kept.select("_stat_words").distinct().first()[0] == "mine" and kept.count() == docs.count()
+
+
 # --- WARC
 
 
