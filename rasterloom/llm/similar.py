@@ -341,7 +341,7 @@ def rest(crowded: DataFrame, roots: DataFrame, docs: DataFrame, own: DataFrame,
 
 def links(nodes: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float, chunk: int) -> DataFrame:
     """Verified edges that connect all nodes found near each other."""
-    shared = shared_blocks(nodes)
+    shared = written(shared_blocks(nodes), "shared")  # read several times from here on
     small, hot = shared.filter(F.col("n") <= chunk), shared.filter(F.col("n") > chunk)
     dealt, first = dealt_small(small), None
     if hot.limit(1).count():
