@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from ..sources.raster_files import RasterFiles
 from ._base import as_texts, claim_worker, map_batches, worker_table, written
 
-#: Words a worker remembers, and the longest of them: some 200 MB at most.
-CACHE, LONGEST = 1_000_000, 64
+#: Words a worker remembers, and the longest of them: some 130 MB at most.
+CACHE, LONGEST = 600_000, 64
 _MAGIC, _HEAD = b"WMX2", "<4sQQIQ"
 #: Bits of a block, which is compressed on its own, and of a part, whose ones are counted in it.
 BLOCK, PART = 1 << 15, 512
