@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import png
-from ..operators import encode, images
+from ..operators import encode, images, pictures
 from ..streaming import bands_stream
 from .common import Queries, table, text_images
 
@@ -139,3 +139,42 @@ def container_sniff(spark, folder):
     made = encode.png_files(source).select("image_id", "file").unionByName(encode.gif_files(source).select("image_id", "file"))
     made = made.unionByName(encode.jpeg_files(text_images(spark, folder, 96).filter("height > 0"), workers=8).select("image_id", "file"))
     return encode.sniffed(made).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("most_parts"))
+
+
+_MODELS = ("gray", "gray16", "rgb", "rgba", "nrgba", "rgba64", "nrgba64", "cmyk", "paletted")
+
+
+def _pictures(spark, folder):
+    """Documents as pictures 16 pixels wide, of all colour models in turn; alphas are what the bytes say."""
+    docs = text_images(spark, folder).filter("height > 0")
+    at = F.pmod(F.col("image_id"), F.lit(len(_MODELS))).cast("int") + 1
+    size = F.element_at(F.array(*(F.lit(pictures.CHANNELS[m] * (2 if m in pictures.DEEP else 1)) for m in _MODELS)), at)
+    chosen = docs.select("image_id", F.element_at(F.array(*map(F.lit, _MODELS)), at).alias("model"), size.alias("size"), "raw")
+    rows = chosen.withColumn("height", F.expr("octet_length(raw) div (16 * size)").cast("int")).filter("height > 0")
+    palette = b"".join(bytes((v, 3 * v % 256, 7 * v % 256, 255)) for v in range(256))
+    return rows.select("image_id", F.lit(16).alias("width"), "height", "model", F.expr("substring(raw, 1, 16 * height * size)").alias("raw"), F.lit(palette).alias("palette"))
+
+
+@Q.add()
+def picture_layouts(spark, folder):
+    return pictures.inferred(_pictures(spark, folder)).withColumnRenamed("image_id", "doc_id")
+
+
+def _picture_files(kind, **options):
+    def run(spark, folder):
+        return _digest(pictures.files(_pictures(spark, folder), kind, **options))
+
+    run.__name__ = f"picture_{kind}"
+    return run
+
+
+for _kind, _options in (("png", {}), ("tiff", {"compression": "lzw", "predictor": True}), ("jpeg", {}), ("webp", {})):
+    Q.add()(_picture_files(_kind, **_options))
+
+
+@Q.add()
+def picture_animation(spark, folder):
+    """Pictures of one size as the frames of animations, sixteen to a file."""
+    rows = _pictures(spark, folder).filter("model in ('rgb', 'nrgba')").withColumn("raw", F.expr("substring(raw, 1, 16 * if(model = 'rgb', 3, 4))")).withColumn("height", F.lit(1))
+    frames = rows.withColumn("file_id", F.expr("image_id div 144")).withColumn("frame", F.col("image_id")).withColumn("delay_ms", F.lit(40))
+    return _digest(pictures.animations(frames, "file_id", "apng").withColumnRenamed("file_id", "image_id"))
