@@ -77,6 +77,22 @@ def quality_scale(quality: Column) -> Column:
     return F.when(quality < 50, F.floor(5000 / quality)).otherwise(200 - 2 * quality).cast("int")
 
 
+def pair_hash(first: Column, second: Column, bits: int = 16) -> Column:
+    """Bucket of two packed pixels; the larger factor is multiplied in halves, as its product passes 2**63."""
+    low = lambda c, n: c.cast("long").bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    factor = F.lit(0x9E3779B1).cast("long")
+    high = F.shiftleft(low(F.shiftright(second.cast("long"), 16) * factor, 16), 16)
+    one = low(low(first, 32) * F.lit(0x1E35A7BD).cast("long"), 32)
+    two = low(low(second, 16) * factor + high, 32)
+    return F.shiftright(one.bitwiseXOR(two), 32 - bits).cast("int")
+
+
+def lzw_bucket(code: Column, byte: Column, bits: int = 13) -> Column:
+    """Bucket of an LZW phrase: a code of twelve bits and the byte after it."""
+    key = F.shiftleft(code.cast("long"), 8).bitwiseOR(byte.cast("long"))
+    return F.shiftright(key, 12).bitwiseXOR(key).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+
+
 def scaled_entry(base: Column, quality: Column) -> Column:
     """A quantisation table's entry at a quality."""
     return F.greatest(F.least(F.floor((base * quality_scale(quality) + 50) / 100), F.lit(255)), F.lit(1)).cast("int")

@@ -70,7 +70,7 @@ def planes_of(pixels: np.ndarray, model: str, subsample: bool = True) -> list[np
 def zigzagged(plane: np.ndarray, table: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Quantised blocks of a plane, filled up to so many block rows and columns."""
     plane = np.pad(plane, ((0, rows * 8 - plane.shape[0]), (0, columns * 8 - plane.shape[1])), mode="edge")
-    q = blocks.quantise(blocks.forward_dct(blocks.to_blocks(plane).astype(float) - 128), table)
+    q = blocks.quantise(blocks.fixed_dct(blocks.to_blocks(plane)), table)
     return q.reshape(rows, columns, 64)[..., blocks.ZIGZAG]
 
 

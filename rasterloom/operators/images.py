@@ -176,6 +176,23 @@ def tile_modes(images: DataFrame) -> DataFrame:
     return per_image(images, make, "tx int, ty int, mode int, cost long")
 
 
+def tile_residuals(images: DataFrame) -> DataFrame:
+    """``(image_id, tx, ty, total)``: residual bytes under each tile's predictor, summed; bytes are A, R, G, B."""
+
+    def make(rows):
+        if not len(rows):
+            return {k: np.zeros(0, t) for k, t in (("tx", np.int32), ("ty", np.int32), ("total", np.int64))}
+        modes, _, chosen = predictors.tile_modes(rows.reshape(len(rows), -1, 4))
+        th, tw = modes.shape
+        grid = np.zeros((th * predictors.TILE, tw * predictors.TILE), np.int64)
+        grid[:chosen.shape[0], :chosen.shape[1]] = chosen.sum(axis=2, dtype=np.int64)
+        ty, tx = np.indices(modes.shape)
+        total = grid.reshape(th, predictors.TILE, tw, predictors.TILE).sum(axis=(1, 3))
+        return {"tx": tx.ravel().astype(np.int32), "ty": ty.ravel().astype(np.int32), "total": total.ravel()}
+
+    return per_image(images, make, "tx int, ty int, total long")
+
+
 def straight_sums(images: DataFrame) -> DataFrame:
     """``(image_id, red, green, blue)``: sums of straight colours of premultiplied R, G, B, A bytes."""
 

@@ -138,23 +138,31 @@ def _tile_sql() -> str:
         chosen = f"CASE WHEN x = 0 AND y = 0 THEN {first} WHEN y = 0 THEN l{c} WHEN x = 0 THEN t{c} ELSE {guess} END"
         return f"(({c} - ({chosen}) + 512) % 256)"
 
-    costs = []
+    costs, totals = [], []
     for m in range(14):
         parts = [residual(c, guesses(c)[m]) for c in _CHANNELS]
+        totals.append("sum(" + " + ".join(parts) + f")::BIGINT AS r{m}")
         costs.append("sum(" + " + ".join(f"least({p}, 256 - {p})" for p in parts) + f")::BIGINT AS c{m}")
     lags = ", ".join(f"lag({c}, {n}, 0) OVER w AS {k}{c}" for c in _CHANNELS for k, n in (("l", 1), ("t", 16), ("tl", 17), ("tr", 15)))
     least = "least(" + ", ".join(f"c{m}" for m in range(14)) + ")"
     first = " ".join(f"WHEN c{m} THEN {m}" for m in range(14))
+    total = " ".join(f"WHEN c{m} THEN r{m}" for m in range(14))
     return f"""WITH {_ARGB}, n AS (SELECT *, {lags} FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
-k AS (SELECT doc_id, x // 16 AS tx, y // 16 AS ty, {', '.join(costs)} FROM n GROUP BY ALL)
-SELECT doc_id, tx::INT AS tx, ty::INT AS ty, CASE {least} {first} END AS mode, {least} AS cost FROM k"""
+k AS (SELECT doc_id, x // 16 AS tx, y // 16 AS ty, {', '.join(costs + totals)} FROM n GROUP BY ALL)
+SELECT doc_id, tx::INT AS tx, ty::INT AS ty, CASE {least} {first} END AS mode, {least} AS cost, CASE {least} {total} END AS total FROM k"""
 
 
-@Q.add(_tile_sql())
+@Q.add(f"SELECT doc_id, tx, ty, mode, cost FROM ({_tile_sql()})")
 def tile_mode_argmin(spark, folder):
     return images.tile_modes(text_images(spark, folder)).withColumnRenamed("image_id", "doc_id")
 
 
+@Q.add(f"SELECT doc_id, tx, ty, total FROM ({_tile_sql()})")
+def tile_residual(spark, folder):
+    """Residuals under the mode chosen for each tile."""
+    return images.tile_residuals(text_images(spark, folder)).withColumnRenamed("image_id", "doc_id")
+
+
 @Q.add(f"""WITH {PIXELS} SELECT doc_id, y, upper(string_agg(printf('%02X', w), '' ORDER BY g)) AS packed FROM (
 SELECT doc_id, y, x // 4 AS g, sum((v % 4) << (6 - 2 * (x % 4)))::INT AS w FROM px GROUP BY ALL) GROUP BY doc_id, y""")
 def pack_indices(spark, folder):
@@ -214,6 +222,17 @@ def cache_slots(spark, folder):
     return rows.select(F.explode(words).alias("word")).select(C.cache_slot(F.col("word")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
 
 
+@Q.add(f"""WITH {_ARGB}, w AS (SELECT doc_id, y, x, a::HUGEINT * 16777216 + r * 65536 + g * 256 + b AS p FROM q),
+n AS (SELECT p, lead(p) OVER (PARTITION BY doc_id, y ORDER BY x) AS p2 FROM w)
+SELECT (xor(((p * 506832829) & 4294967295)::BIGINT, ((p2 * 2654435761) & 4294967295)::BIGINT) >> 16)::INT AS bucket, count(*)::BIGINT AS n FROM n WHERE p2 IS NOT NULL GROUP BY 1""")
+def pair_buckets(spark, folder):
+    """Neighbouring pixels of a row by the bucket a match search looks in."""
+    rows = images.scanlines(text_images(spark, folder))
+    words = F.expr("transform(sequence(0, 15), k -> cast(conv(hex(substring(raw, 4 * k + 1, 4)), 16, 10) as bigint))")
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: C.pair_hash(F.get("words", k), F.get("words", k + 1)))
+    return rows.select(words.alias("words")).select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
 @Q.add(f"""WITH {_ARGB} SELECT doc_id, bool_or(a < 255) AS any_alpha, bool_and(a = 255) AS opaque FROM q GROUP BY doc_id""")
 def alpha_flags(spark, folder):
     rows = images.scanlines(text_images(spark, folder))

@@ -148,14 +148,29 @@ def _listed(spec):
     return [(n, k, next(it)) for n, c in enumerate(counts, 1) for k in range(c)]
 
 
-_SPECS = [(name, n, k, s) for name, spec in (("dc", jpeg.DC_LUMA), ("ac", jpeg.AC_LUMA)) for n, k, s in _listed(spec)]
+def _specs(dc, ac) -> list:
+    return [(name, n, k, s) for name, spec in (("dc", dc), ("ac", ac)) for n, k, s in _listed(spec)]
 
 
-@Q.add(f"""WITH t(name, bits, k, symbol) AS (VALUES {values_sql(_SPECS)})
-SELECT name, symbol::INT AS symbol, bits::INT AS bits, (coalesce(sum(1::BIGINT << (16 - bits)) OVER (PARTITION BY name ORDER BY bits, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (16 - bits))::BIGINT AS code FROM t""")
+_SPECS = _specs(jpeg.DC_LUMA, jpeg.AC_LUMA)
+_CHROMA_SPECS = _specs(jpeg.DC_CHROMA, jpeg.AC_CHROMA)
+_CODES = """WITH t(name, bits, k, symbol) AS (VALUES {rows})
+SELECT name, symbol::INT AS symbol, bits::INT AS bits, (coalesce(sum(1::BIGINT << (16 - bits)) OVER (PARTITION BY name ORDER BY bits, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (16 - bits))::BIGINT AS code FROM t"""
+
+
+@Q.add(_CODES.format(rows=values_sql(_SPECS)))
 def jpeg_codes(spark, folder):
     """The standard's luma codes from their counts and symbols."""
-    rows = spark.createDataFrame(_SPECS, "name string, bits int, k int, symbol int")
+    return _jpeg_codes(spark, _SPECS)
+
+
+@Q.add(_CODES.format(rows=values_sql(_CHROMA_SPECS)))
+def jpeg_codes_chroma(spark, folder):
+    return _jpeg_codes(spark, _CHROMA_SPECS)
+
+
+def _jpeg_codes(spark, specs) -> DataFrame:
+    rows = spark.createDataFrame(specs, "name string, bits int, k int, symbol int")
     before = Window.partitionBy("name").orderBy("bits", "k").rowsBetween(Window.unboundedPreceding, -1)
     unit = F.expr("shiftleft(1L, 16 - bits)")
     return rows.select("name", "symbol", "bits", F.coalesce(F.sum(unit).over(before), F.lit(0)).alias("sum")).select("name", "symbol", "bits", F.expr("shiftright(sum, 16 - bits)").alias("code"))
@@ -182,6 +197,27 @@ def deflate_symbols(spark, folder):
     return lengths.groupBy("n").agg(F.count(F.lit(1)).alias("uses")).select("n", symbol.alias("symbol"), "uses")
 
 
+_DISTANCES = [(s, 1 + (s if s < 4 else (2 + s % 2) << (s // 2 - 1)), max(0, s // 2 - 1)) for s in range(30)]
+
+
+@Q.add(f"""WITH t(symbol, first, extra_bits) AS (VALUES {values_sql(_DISTANCES)}), x AS (SELECT (l_orderkey * 7 % 32768 + 1)::INT AS distance, count(*)::BIGINT AS uses FROM lineitem GROUP BY 1)
+SELECT distance, max(symbol)::INT AS symbol, max(extra_bits)::INT AS extra_bits, (distance - max(first))::INT AS extra, any_value(uses) AS uses FROM x JOIN t ON first <= distance GROUP BY distance""")
+def deflate_distances(spark, folder):
+    """Match distances to symbols and extra bits: two symbols a power of two."""
+    d = F.col("distance")
+    uses = table(spark, folder, "lineitem").groupBy((F.col("l_orderkey") * 7 % 32768 + 1).cast("int").alias("distance")).agg(F.count(F.lit(1)).alias("uses"))
+    extra_bits = C.prefix_extra_bits(d)
+    return uses.select("distance", C.prefix_symbol(d).alias("symbol"), extra_bits.alias("extra_bits"), F.pmod(d - 1, F.pow(F.lit(2.0), extra_bits).cast("int")).alias("extra"), "uses")
+
+
+@Q.add("""WITH x AS (SELECT l_partkey % 4096 AS code, l_suppkey % 256 AS byte FROM lineitem)
+SELECT code::BIGINT AS code, byte::BIGINT AS byte, (xor((code * 256 + byte) // 4096, code * 256 + byte) % 8192)::INT AS bucket, count(*)::BIGINT AS n FROM x GROUP BY ALL""")
+def lzw_buckets(spark, folder):
+    """LZW phrases by their bucket in a table of 2 ** 13."""
+    x = table(spark, folder, "lineitem").select((F.col("l_partkey") % 4096).cast("long").alias("code"), (F.col("l_suppkey") % 256).cast("long").alias("byte"))
+    return x.groupBy("code", "byte").agg(F.count(F.lit(1)).alias("n")).select("code", "byte", C.lzw_bucket(F.col("code"), F.col("byte")).alias("bucket"), "n")
+
+
 @Q.add("SELECT o_orderkey, d::INT AS d, CASE WHEN d = 0 THEN 0 ELSE length(bin(abs(d))) END::INT AS bits FROM (SELECT o_orderkey, (o_custkey % 4001 - 2000) AS d FROM orders)")
 def magnitude_bits(spark, folder):
     d = table(spark, folder, "orders").select("o_orderkey", (F.col("o_custkey") % 4001 - 2000).cast("int").alias("d"))
@@ -231,7 +267,17 @@ r AS (SELECT vec_id, i, v, i - coalesce(lag(i) OVER (PARTITION BY vec_id ORDER B
 SELECT vec_id, i::INT AS place, run::INT AS run, (run // 16)::INT AS zrl, ((run % 16) * 16 + length(bin(abs(v))))::INT AS symbol FROM r""")
 def zero_run_ac(spark, folder):
     """Runs of zeros before each AC coefficient, as run-size symbols."""
-    return runs.ac_symbols(table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v * 8).cast("int")).alias("zz")), "vec_id")
+    return runs.ac_symbols(_levels(spark, folder), "vec_id")
+
+
+def _levels(spark, folder) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v * 8).cast("int")).alias("zz"))
+
+
+@Q.add(f"WITH {_COEF} SELECT vec_id, max(CASE WHEN v <> 0 THEN i ELSE 0 END)::INT AS last, max(CASE WHEN v <> 0 THEN i ELSE 0 END) < 63 AS ends FROM q GROUP BY vec_id")
+def block_ends(spark, folder):
+    """Blocks whose last coefficient is zero, after which an end-of-block symbol is written."""
+    return runs.block_ends(_levels(spark, folder), "vec_id")
 
 
 @Q.add("""WITH d AS (SELECT label, vec_id, round(embedding[1] * 100)::INT AS dc FROM embeddings)
@@ -252,15 +298,48 @@ def dct8x8(spark, folder):
     return found.select("vec_id", F.posexplode("dct").alias("place", "c")).select("vec_id", "place", (F.round("c", 3) + 0.0).alias("coefficient"))
 
 
+def _matrix_sql(m) -> str:
+    return values_sql([(u, i, int(c)) for u, row in enumerate(m) for i, c in enumerate(row) if c])
+
+
+@Q.add(f"""WITH f(u, i, c) AS (VALUES {_matrix_sql(blocks.FOLD)}), t18(u, i, c) AS (VALUES {_matrix_sql(blocks.rotation(18))}), t14(u, i, c) AS (VALUES {_matrix_sql(blocks.rotation(14))}),
+e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, greatest(0, least(255, round(v * 400)::BIGINT + 128)) AS v FROM e),
+c1 AS (SELECT vec_id, x, u AS i, sum(v * c)::BIGINT AS v FROM p JOIN f ON f.i = p.y GROUP BY ALL),
+c2 AS (SELECT vec_id, x, u, sum(v * c)::BIGINT AS v FROM c1 JOIN t18 USING (i) GROUP BY ALL),
+c3 AS (SELECT vec_id, x AS i, u AS uy, CASE WHEN u = 0 THEN (v - 1024) * 262144 WHEN u = 4 THEN v * 262144 WHEN u IN (3, 5) THEN (v >> 12) * {blocks.root_2(12)} ELSE v END AS v FROM c2),
+r1 AS (SELECT vec_id, uy, f.u AS i, sum(v * c)::BIGINT AS v FROM c3 JOIN f USING (i) GROUP BY ALL),
+r2 AS (SELECT vec_id, uy, u, sum(CASE WHEN i < 2 THEN v ELSE v >> 14 END * c)::BIGINT AS v FROM r1 JOIN t14 USING (i) GROUP BY ALL)
+SELECT vec_id, (uy * 8 + u)::INT AS place, ((CASE WHEN u IN (3, 5) THEN (v >> 14) * {blocks.root_2(14)} ELSE v END + 131072) >> 18)::BIGINT AS coefficient FROM r2""")
+def dct_fixed(spark, folder):
+    """The fixed-point DCT, times 8, of samples 0..255: equal to the last bit."""
+    level = lambda v: F.greatest(F.least(F.round(v * 400).cast("int") + 128, F.lit(255)), F.lit(0))
+    samples = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", level).alias("samples"))
+    return runs.block_fixed_dct(samples, "vec_id", "samples").select("vec_id", F.posexplode("dct").alias("place", "coefficient"))
+
+
 _LUMA = [(i, int(v)) for i, v in enumerate(blocks.LUMA)]
 _ZIGZAG = [(k, int(i)) for k, i in enumerate(blocks.ZIGZAG)]
 
 
-@Q.add(f"""WITH t(i, base) AS (VALUES {values_sql(_LUMA)}), s AS (SELECT q, CASE WHEN q < 50 THEN 5000 // q ELSE 200 - 2 * q END AS scale FROM range(1, 101) r(q))
-SELECT q::INT AS quality, i::INT AS place, greatest(1, least(255, (base * scale + 50) // 100))::INT AS entry FROM t, s""")
+_CHROMA = [(i, int(v)) for i, v in enumerate(blocks.CHROMA)]
+_SCALED = """WITH t(i, base) AS (VALUES {rows}), s AS (SELECT q, CASE WHEN q < 50 THEN 5000 // q ELSE 200 - 2 * q END AS scale FROM range(1, 101) r(q))
+SELECT q::INT AS quality, i::INT AS place, greatest(1, least(255, (base * scale + 50) // 100))::INT AS entry FROM t, s"""
+
+
+@Q.add(_SCALED.format(rows=values_sql(_LUMA)))
 def quality_tables(spark, folder):
     """The luma table at every quality: an array a quality, opened; no join."""
-    entries = F.array(*(C.scaled_entry(F.lit(v), F.col("quality")) for _, v in _LUMA))
+    return _scaled_tables(spark, _LUMA)
+
+
+@Q.add(_SCALED.format(rows=values_sql(_CHROMA)))
+def quality_tables_chroma(spark, folder):
+    return _scaled_tables(spark, _CHROMA)
+
+
+def _scaled_tables(spark, base) -> DataFrame:
+    entries = F.array(*(C.scaled_entry(F.lit(v), F.col("quality")) for _, v in base))
     return spark.range(1, 101).select(F.col("id").cast("int").alias("quality")).select("quality", F.posexplode(entries).alias("place", "entry"))
 
 

@@ -332,6 +332,14 @@ def test_blocks():
     assert [(b, s, v, n) for b, _, s, v, n in got] == [(0, 3, 5, 3), (0, 2, 0, 2), (0, 0xF0, 0, 0), (0, 0xF0, 0, 0), (0, 6 * 16 + 1, 1, 1), (0, 0, 0, 0), (1, 2, 0, 2), (1, 0xF0, 0, 0), (1, 0xF0, 0, 0), (1, 0xF0, 0, 0), (1, 14 * 16 + 1, 1, 1)]
 
 
+def test_fixed_point_dct():
+    """Within one of eight times the real transform; flat blocks and their steps exactly."""
+    x = np.concatenate([RNG.integers(0, 256, (400, 8, 8)), RNG.integers(0, 2, (400, 8, 8)) * 255, np.arange(256)[:, None, None] + np.zeros((1, 8, 8), int)])
+    got = blocks.fixed_dct(x)
+    assert np.abs(got - 8 * blocks.forward_dct(x - 128.0)).max() <= 1
+    assert (got[800:, 0, 0] == (np.arange(256) - 128) * 64).all() and not got[800:].reshape(256, 64)[:, 1:].any()
+
+
 # --- WebP: a decoder after the specification
 
 
