@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,10 +202,36 @@ def lzw_streams(images: DataFrame, kind: str) -> DataFrame:
     return made.select("image_id", F.col("file").alias("stream"))
 
 
-def dithered(images: DataFrame, palette: np.ndarray) -> DataFrame:
-    """``(image_id, file)``: indices of R, G, B, A bytes under Floyd-Steinberg, in rows."""
+def dithered(images: DataFrame, palette: np.ndarray, at_once: int = 8 << 20) -> DataFrame:
+    """``(image_id, file, error)``: indices of R, G, B, A bytes under Floyd-Steinberg, in rows.
+
+    Images of up to ``at_once`` bytes together are drawn side by side.
+    """
     wide = palette.astype(np.int64) * 257
-    return each(images, lambda rows: gif.dither(rows.reshape(len(rows), -1, 4).astype(np.int64) * 257, wide).tobytes())
+    id_type = dict(images.dtypes)["image_id"]
+
+    def run(batches):
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy().astype(np.int64)
+            taken = (np.cumsum(sizes) - sizes) // at_once
+            starts = np.flatnonzero(np.append(True, taken[1:] != taken[:-1])) if len(taken) else taken
+            for at, stop in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                part = batch.slice(at, stop - at)
+                files, errors, by_width = [None] * part.num_rows, [None] * part.num_rows, {}
+                for k, (width, raw) in enumerate(zip(part.column(1).to_pylist(), part.column(2))):
+                    try:
+                        rows = need_rows(as_rows(raw.as_buffer() or b"", width))
+                        pixels = rows.reshape(len(rows), -1, 4).astype(np.uint16) * np.uint16(257)
+                    except ValueError as e:
+                        errors[k] = str(e)
+                    else:
+                        by_width.setdefault(width, []).append((k, pixels))
+                for own in by_width.values():
+                    for (k, _), indices in zip(own, gif.dither_all([x for _, x in own], wide)):
+                        files[k] = indices.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary()), pa.array(errors, pa.string())], names=["image_id", "file", "error"])
+
+    return images.select("image_id", "row_bytes", "raw").mapInArrow(run, f"image_id {id_type}, file binary, error string")
 
 
 def animations(frames: DataFrame, key: str, kind: str, width: int, height: int) -> DataFrame:

@@ -1,12 +1,14 @@
 """Encoders held against decoders: the standard library's, Spark's, or ones written here."""
 
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 from rasterloom.functions import bands, bits, blocks, deflate, gif, jpeg, lzw, png, predictors, prefix_codes, tiff, vp8l, webp
+from rasterloom.operators import encode
 
 RNG = np.random.default_rng(1)
 STREAMS = [
@@ -317,6 +319,41 @@ def test_dithering_and_palettes():
     assert cut.shape == (16, 3)
 
 
+def test_dithering_pictures_side_by_side(monkeypatch):
+    rng = np.random.default_rng(7)
+    for width, channels, colours in ((16, 4, 16), (1, 3, 2), (2, 1, 256), (7, 5, 9), (8, 4, 1)):
+        pictures = [rng.integers(0, 65536, (h, width, channels)) // 21845 * 21845 if h % 2 else rng.integers(0, 65536, (h, width, channels)) for h in (0, 1, 2, 3, 9, 30, 17, 1, 5)]
+        palette = rng.integers(0, 65536, (colours, channels))
+        palette[:, -1] = 65535 if channels > 3 else palette[:, -1]  # alike in all colours
+        palette[-1] = palette[0]  # of equals the first
+        expected = [plain_dither(p, palette) for p in pictures]
+        for at_once in (gif.AT_ONCE, 40):
+            monkeypatch.setattr(gif, "AT_ONCE", at_once)
+            assert all((a == b).all() for a, b in zip(gif.dither_all(pictures, palette), expected))
+    with pytest.raises(ValueError):
+        gif.dither_all([np.full((2, 2, 3), 65536)], np.array([[0, 0, 0], [9, 9, 9]]))
+
+
+def test_dithered_images(spark):
+    """Rows of several widths, stacks of few bytes, and what cannot be drawn; a million pixels take seconds, not minutes."""
+    rng = np.random.default_rng(8)
+    grays = np.array([[v, v, v, 255] for v in range(0, 256, 17)])
+    rows = [(i, w, bytearray(rng.integers(0, 256, w * h, np.uint8).tobytes())) for i, (w, h) in enumerate([(64, 3), (8, 40), (64, 1), (4, 9), (64, 20), (8, 1)])]
+    rows += [(90, 64, bytearray()), (91, 64, None), (92, 6, bytearray(12))]
+    frame = spark.createDataFrame(rows, "image_id long, row_bytes int, raw binary").coalesce(1)
+    for at_once in (8 << 20, 200):
+        got = {r.image_id: r for r in encode.dithered(frame, grays, at_once).collect()}
+        assert len(got) == len(rows)
+        for i, width, raw in rows[:6]:
+            pixels = np.frombuffer(bytes(raw), np.uint8).reshape(-1, width // 4, 4).astype(np.int64) * 257
+            assert bytes(got[i].file) == plain_dither(pixels, grays * 257).astype(np.uint8).tobytes() and got[i].error is None
+        assert all(got[i].file is None and got[i].error for i in (90, 91, 92))
+    large = [rng.integers(0, 65536, (125, 16, 4)) for _ in range(500)]
+    began = time.process_time()
+    gif.dither_all(large, grays * 257)
+    assert time.process_time() - began < 5
+
+
 # --- JPEG parts
 
 
