@@ -252,14 +252,20 @@ def animations(frames: DataFrame, key: str, kind: str, width: int, height: int)
         if kind == "apng":
             return png.encode_animation([png.Frame(picture(r["value"]), delay_ms=r["delay_ms"], dispose=r["value"] % 3, blend=r["value"] % 2) for r in rows])
         if kind == "webp":
-            return webp.encode_animation([webp.Frame(np.ascontiguousarray(picture(r["value"])[..., [3, 0, 1, 2]]), duration_ms=r["delay_ms"]) for r in rows])
+            shown = {}  # a value's picture is one array
+            for r in rows:
+                if r["value"] not in shown:
+                    shown[r["value"]] = np.ascontiguousarray(picture(r["value"])[..., [3, 0, 1, 2]])
+            return webp.encode_animation([webp.Frame(shown[r["value"]], duration_ms=r["delay_ms"]) for r in rows])
         palette = tuple((v, v * 3 % 256, v * 7 % 256, 255) for v in range(16))
         made = [gif.Frame((np.indices((height, width)).sum(axis=0) * (r["value"] + 1) % 16).astype(np.uint8), palette, delay=r["delay_ms"] // 10) for r in rows]
         return gif.encode(made, width, height, 0)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(rows) for rows in batch.column(1).to_pylist()], pa.binary())], names=[key, "file"])
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([make(rows) for rows in part.column(1).to_pylist()], pa.binary())], names=[key, "file"])
 
     return listed.mapInArrow(run, f"{key} {key_type}, file binary")
 

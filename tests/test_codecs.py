@@ -526,6 +526,26 @@ def test_webp_containers():
         webp.encode_animation(frames, loops=1 << 16)
 
 
+def test_equal_frames_are_encoded_once(monkeypatch):
+    """A picture shown again, as the same array or another, costs no second stream; files are as if each were encoded."""
+    rng = np.random.default_rng(9)
+    pictures = [rng.integers(0, 256, size, np.uint8) for size in ((16, 24, 4), (24, 16, 4), (80, 60, 4), (80, 60, 4))]
+    pictures.append(np.zeros((16, 24, 4), np.uint8))
+    turned = np.arange(16 * 24 * 4, dtype=np.uint8).reshape(24, 16, 4).transpose(1, 0, 2)  # not in one piece
+    pictures += [turned, np.full((24, 16, 4), 7, np.uint8), np.full((16, 24, 4), 7, np.uint8)]
+    order = [*range(8), *rng.integers(0, 8, 400).tolist()]
+    frames = [webp.Frame(pictures[k] if n % 2 else pictures[k].copy(), duration_ms=n) for n, k in enumerate(order)]
+    expected = [webp.chunk(b"VP8L", webp.image_stream(pictures[k])) for k in order]
+    made, encode_picture = [], vp8l.encode
+    monkeypatch.setattr(vp8l, "encode", lambda *a: made.append(1) or encode_picture(*a))
+    webp._small_stream.cache_clear()
+    shown = [data for kind, data in webp.parse(webp.encode_animation(frames)) if kind == "ANMF"]
+    assert [data[16:] for data in shown] == expected and len(made) == 8
+    webp.encode_animation(frames[:2])
+    assert len(made) == 8  # small pictures are known to the next animation
+    assert webp._small_stream.cache_info().maxsize * webp.SMALL <= 16 << 20
+
+
 def test_references_find_the_pixels():
     x = np.tile(RNG.integers(0, 5, 200), 30).astype(np.uint32)
     for start in (0, 700):
