@@ -29,12 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
+def written(df: DataFrame, what: str, codec: str | None = None, rows: int | None = None, in_file: int = 1 << 16) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage at a copy that outlives any executor.
+    This cuts the lineage at a copy that outlives any executor.  A table of at most
+    about ``rows`` rows goes into a file for every ``in_file`` of them, or one a core
+    if these are more, however many partitions it has: each file takes a task, and
+    Hadoop's local files an own process for each permission that it sets.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // in_file)))
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     writer = df.write
     if codec:

@@ -28,20 +28,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``(node, root)`` for every node of the edges ``(u, v)``; root is the least node.
 
     Nodes without an edge have no row.  An empty table gives an empty result.
+    ``rows`` tells about how many edges there are, if that is known.
     """
-    now = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows=rows)
+    rows = now.count()  # a footer a file
     state = None
     for _ in range(max_rounds):
-        before, now = now, written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges", rows=rows)
         removed(before)
         seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if seen == state or seen[0] == 0:
             break
-        state = seen
+        state, rows = seen, seen[0]
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

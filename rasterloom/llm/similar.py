@@ -50,6 +50,7 @@ WORDS = 4  # 64-bit words of a whole-text fingerprint
 FAR = 58  # bits: a pair of similarity 0.8 lies at 39, seldom over 6 away, and thrice that once in thousands
 FEW = 32  # shingles: the distances of shorter texts spread too wide for that cut, they are not cut by it
 NEAREST = 4
+IN_TASK = 1 << 10  # rows a task where each is compared by its texts
 _STEP = 1 << 14
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -303,12 +304,12 @@ def candidates(dealt: DataFrame) -> DataFrame:
     return near.mapInArrow(verify, "u string, v string, " + ", ".join(f"{c} {types[c]}" for c in TASK))
 
 
-def rest(crowded: DataFrame, roots: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+def rest(crowded: DataFrame, roots: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float, n: int) -> DataFrame:
     """Edges ``(u, v)`` between crowded nodes of a task that differ in root, by an exact join of their shingles."""
     rooted = crowded.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(*TASK, "node", F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy(*TASK).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(*TASK)
-    open_nodes = written(rooted.join(split, TASK), "crowded")
-    table = shingle_table(open_nodes.select("node").distinct(), docs, own, text_col, width)
+    open_nodes = written(rooted.join(split, TASK), "crowded", rows=n)
+    table = shingle_table(open_nodes.select("node").distinct(), docs, own, text_col, width, min(n, open_nodes.count()))
     rows = open_nodes.join(table, "node").select(*TASK, "node", "root", "shingles").repartition(*TASK).sortWithinPartitions(*TASK)
 
     def join(batches):
@@ -339,27 +340,31 @@ def rest(crowded: DataFrame, roots: DataFrame, docs: DataFrame, own: DataFrame,
     return rows.mapInArrow(join, "u string, v string").distinct()
 
 
-def links(nodes: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float, chunk: int) -> DataFrame:
-    """Verified edges that connect all nodes found near each other."""
-    shared = written(shared_blocks(nodes), "shared")  # read several times from here on
+def links(nodes: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float, chunk: int, blocks: int) -> tuple[DataFrame, int]:
+    """Verified edges that connect all nodes found near each other, and about how many."""
+    shared = written(shared_blocks(nodes), "shared", rows=blocks * own.count())  # read several times from here on
+    n = shared.count()
     small, hot = shared.filter(F.col("n") <= chunk), shared.filter(F.col("n") > chunk)
     dealt, first = dealt_small(small), None
     if hot.limit(1).count():
-        first = written(verified(written(pivot_edges(hot), "pivots"), docs, own, text_col, width, similarity), "pivot-links")
-        dealt = dealt.unionByName(dealt_hot(hot, components(first), chunk))
-    found = written(candidates(dealt), "candidates")
-    linked = verified(found.filter("v is not null").select("u", "v").distinct(), docs, own, text_col, width, similarity)
+        pivots = written(pivot_edges(hot), "pivots", rows=n)
+        tried = pivots.count()
+        first = written(verified(pivots, docs, own, text_col, width, similarity, tried), "pivot-links", rows=tried, in_file=IN_TASK)
+        dealt = dealt.unionByName(dealt_hot(hot, components(first, rows=first.count()), chunk))
+    found = written(candidates(dealt), "candidates", rows=n, in_file=IN_TASK)
+    tried = found.count()
+    linked = verified(found.filter("v is not null").select("u", "v").distinct(), docs, own, text_col, width, similarity, tried)
     linked = linked if first is None else first.unionByName(linked)
     crowded = found.filter("v is null").select(F.col("u").alias("node"), *TASK)
     if not crowded.limit(1).count():
-        return linked
-    roots = written(components(linked), "links")
-    more = rest(crowded, roots, docs, own, text_col, width, similarity)
-    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+        return linked, tried
+    roots = written(components(linked, rows=tried), "links", rows=tried)
+    more = rest(crowded, roots, docs, own, text_col, width, similarity, tried)
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), tried
 
 
-def shingle_table(ends: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int) -> DataFrame:
-    """``(node, shingles)`` of the nodes in ``ends``: ascending 64-bit hashes."""
+def shingle_table(ends: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, n: int) -> DataFrame:
+    """``(node, shingles)`` of the nodes in ``ends``, n at most: ascending 64-bit hashes."""
 
     def sets(batches):
         for batch in batches:
@@ -367,14 +372,14 @@ def shingle_table(ends: DataFrame, docs: DataFrame, own: DataFrame, text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
     # one row of each node in question, fetched by the hash of that row: copies do not meet
-    rows = bounded(written(own.join(ends, "node").select("node", "first._row_a", "first._row_b"), "ends"))
+    rows = bounded(written(own.join(ends, "node").select("node", "first._row_a", "first._row_b"), "ends", rows=n))
     texts = docs.select(docs[text_col].cast("string").alias("t"), *row_keys(docs)).join(rows, ["_row_a", "_row_b"]).select("node", "t")
     return written(texts.mapInArrow(sets, "node string, shingles binary"), "shingles").dropDuplicates(["node"])
 
 
-def verified(edges: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The edges whose texts have at least that share of distinct shingles in common."""
-    table = shingle_table(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, own, text_col, width)
+def verified(edges: DataFrame, docs: DataFrame, own: DataFrame, text_col: str, width: int, similarity: float, n: int) -> DataFrame:
+    """The edges, n at most, whose texts have at least that share of distinct shingles in common."""
+    table = shingle_table(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, own, text_col, width, 2 * n)
     pairs = edges.join(table.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(table.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
 
     def check(batches):
@@ -394,16 +399,18 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, one of each group of near duplicates, all columns kept."""
     keys = row_keys(docs)
     found = written(sketches(docs, id_col, text_col, width, blocks, sample, keys), "sketches")
+    n = found.count()
     nodes = found.select("node", "blocks", "print", "few").dropDuplicates(["node"])
     # the least row of each node: copies are one row from here on
-    own = written(found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_a", "_row_b")).alias("first")), "nodes")
-    roots = components(links(nodes, docs, own, text_col, width, similarity, chunk)).withColumnRenamed("node", "n")
+    own = written(found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_a", "_row_b")).alias("first")), "nodes", rows=n)
+    edges, tried = links(nodes, docs, own, text_col, width, similarity, chunk, blocks)
+    roots = components(edges, rows=tried).withColumnRenamed("node", "n")
     winners = own.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     every = found.groupBy("_row_a", "_row_b").agg(F.count(F.lit(1)).alias("copies"))
     first = winners.select(F.col("first._row_a").alias("wa"), F.col("first._row_b").alias("wb"))
     marked = every.join(first, (F.col("_row_a") == F.col("wa")) & (F.col("_row_b") == F.col("wb")), "left")
     # what goes is a smaller table than what stays; rows equal in all columns are one of these two
-    marked = written(marked.select(F.col("_row_a").alias("ra"), F.col("_row_b").alias("rb"), "copies", F.col("wa").isNotNull().alias("stays")), "marked")
+    marked = written(marked.select(F.col("_row_a").alias("ra"), F.col("_row_b").alias("rb"), "copies", F.col("wa").isNotNull().alias("stays")), "marked", rows=n)
     names = [_free(docs, n) for n in ("_row_a", "_row_b")]
     rows = docs.select("*", *(k.alias(n) for k, n in zip(keys, names)))
     chosen = lambda which: bounded(marked.filter(which).select(F.col("ra").alias(names[0]), F.col("rb").alias(names[1])))

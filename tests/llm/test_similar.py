@@ -162,3 +162,33 @@ def test_columns_of_any_name_and_type_are_kept(spark):
     kept = similar.representatives(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r._row_a) for r in kept.collect()) == [(1, 5), (3, 7)]
+
+
+def test_narrow_tables_go_into_few_files(spark, monkeypatch):
+    """Scratch tables have files by their rows, not by the shuffle's partitions; the rows that stay are the same."""
+    from rasterloom.llm import _base, _components
+
+    files = {}
+
+    def counted(df, what, *more, **options):
+        table = _base.written(df, what, *more, **options)
+        files[what] = max(files.get(what, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(similar, "written", counted)
+    monkeypatch.setattr(_components, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rng = random.Random(4)
+    base = made(rng, 120)
+    rows = [(k, " ".join([*base[:119 - k % 3], f"own{k}"]) if k < 90 else " ".join(made(rng, 30)), "x", None) for k in range(140)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        kept = similar.representatives(spark.createDataFrame(rows, SCHEMA), chunk=8)
+        assert sorted(str(r.doc_id) for r in kept.collect()) == expected(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"nodes", "shared", "pivots", "pivot-links", "candidates", "edges", "ends", "marked"} <= set(files)
+    assert all(n <= spark.sparkContext.defaultParallelism for what, n in files.items() if what not in ("sketches", "shingles"))
