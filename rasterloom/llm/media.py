@@ -140,7 +140,7 @@ def sample_ranges(tables: dict[bytes, tuple[int, int]], data: memoryview) -> tup
     before = np.cumsum(sizes) - sizes
     firsts = np.cumsum(per_chunk) - per_chunk
     offsets = chunks[chunk_of] + before - before[firsts[chunk_of]]
-    if len(offsets) and (offsets.min() < 0 or (offsets > len(data) - sizes).any()):
+    if len(offsets) and offsets.min() < 0:
         raise ValueError("a sample lies outside the file")
     return offsets, sizes
 
@@ -197,8 +197,13 @@ def _inspect(data: memoryview) -> dict:
 
 
 def unpack(file: bytes, info: dict | None = None) -> bytes:
-    """The padded payload, gathered from the sample ranges."""
+    """The padded payload, gathered from the sample ranges, which must lie in the file.
+
+    Tables alone can be inspected: only here are the samples themselves needed.
+    """
     offsets, sizes = (info or inspect(file))["all_ranges"]
+    if (offsets > len(file) - sizes).any():
+        raise ValueError("a sample lies outside the file")
     if len(sizes) and (offsets[1:] == offsets[:-1] + sizes[:-1]).all():
         return file[int(offsets[0]):int(offsets[-1] + sizes[-1])]
     return b"".join(file[o:o + s] for o, s in zip(offsets.tolist(), sizes.tolist()))
