@@ -11,6 +11,7 @@ the whole job has been committed; a failed job leaves none.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,16 +43,22 @@ class Writer(DataSourceArrowWriter):
         fs, base = store(self.path)
         context = TaskContext.get()
         folder = f"{base}/.part-{context.partitionId()}-{context.taskAttemptId()}"
-        fs.create_dir(folder)
         done = []
-        for batch in iterator:
-            for name, file in zip(batch.column("name").to_pylist(), batch.column("file").to_pylist()):
-                if not name or "/" in name or name.startswith("."):
-                    raise ValueError(f"{name!r} is no name for a file")
-                held = f"{folder}/{len(done)}"
-                with fs.open_output_stream(held) as out:
-                    out.write(file or b"")
-                done.append((held, name))
+        try:
+            for batch in iterator:
+                for name, file in zip(batch.column("name").to_pylist(), batch.column("file").to_pylist()):
+                    if not name or "/" in name or name.startswith("."):
+                        raise ValueError(f"{name!r} is no name for a file")
+                    if not done:  # a task without files leaves nothing, however late it comes
+                        fs.create_dir(folder)
+                    held = f"{folder}/{len(done)}"
+                    with fs.open_output_stream(held) as out:
+                        out.write(file or b"")
+                    done.append((held, name))
+        except BaseException:
+            with contextlib.suppress(OSError):  # there may be none yet
+                fs.delete_dir(folder)
+            raise
         return Written(done)
 
     def commit(self, messages: list[Written]) -> None:

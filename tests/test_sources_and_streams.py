@@ -46,6 +46,24 @@ def test_made_images_round_trip_through_files(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == sorted(n for n, _, _ in made)
 
 
+def test_writers_that_fail_or_have_no_files_leave_nothing(tmp_path, monkeypatch):
+    """A task may begin after the job was given up and its folders were cleared."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 7))
+    writer = RasterFiles({"path": str(tmp_path)}).writer(None, False)
+    batch = lambda *names: pa.RecordBatch.from_arrays([pa.array(names), pa.array([b"1"] * len(names))], names=["name", "file"])
+    assert not writer.write(iter([])).files and not list(tmp_path.iterdir())
+    with pytest.raises(ValueError):
+        writer.write(iter([batch("a"), batch("b", "../x")]))
+    assert not list(tmp_path.iterdir())
+    writer.commit([writer.write(iter([batch("a", "b")]))])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
 def test_inferred_layout_and_translation(spark):
     rows = [(1, "nrgba", bytearray([1, 2, 3, 255] * 4)), (2, "nrgba", bytearray([1, 2, 3, 254])), (3, "gray", bytearray([0, 0, 0, 0])), (4, "paletted", bytearray([1])), (5, "rgba", bytearray())]
     found = {r.id: (r.opaque, r.colour) for r in sources.inferred(spark.createDataFrame(rows, "id int, model string, raw binary")).collect()}
