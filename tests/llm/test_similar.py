@@ -192,3 +192,19 @@ def test_narrow_tables_go_into_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert {"nodes", "shared", "pivots", "pivot-links", "candidates", "edges", "ends", "marked"} <= set(files)
     assert all(n <= spark.sparkContext.defaultParallelism for what, n in files.items() if what not in ("sketches", "shingles"))
+
+
+@pytest.mark.parametrize("share, chunk", [(0.92, 64), (0.93, 1024)])
+def test_families_that_keep_stretches_whole(spark, share, chunk):
+    """As the families above, but a stretch of five words is kept or changed as one, so that many pairs do lie over 0.8."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(300):
+        kept = ["b" if rng.random() < share else k for _ in range(40)]
+        rows.append((k, " ".join(f"{own}w{i}n{j}" for i, own in enumerate(kept) for j in range(5)), "x", None))
+    sets = [shingles(t) for _, t, *_ in rows]
+    near = sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 for i in range(300) for j in range(i))
+    want = expected(rows)
+    assert near > 500 and 2 < len(want) < 280
+    kept = similar.representatives(spark.createDataFrame(rows, SCHEMA), chunk=chunk)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == want
